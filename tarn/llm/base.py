@@ -12,8 +12,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
@@ -58,7 +56,7 @@ def passes(batches: Iterator[pa.RecordBatch], text: str, limit: int = PASS_BYTES
             start = stop
 
 
-def map_texts(df: DataFrame, columns: list[str], text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply `work` to bounded batches of the named columns. Other columns, whatever their names, are not read."""
     prepare(df.sparkSession)
 
@@ -80,10 +78,17 @@ def filter_texts(df: DataFrame, text: str, keep: Callable[[pa.RecordBatch], np.n
     return df.mapInArrow(run, df.schema)
 
 
-def record(schema: str | T.StructType, **columns) -> pa.RecordBatch:
-    """A batch with the Arrow types of a Spark schema, from arrays or lists in that order."""
-    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for f, v in zip(to_arrow_schema(kind), columns.values(), strict=True)], names=[f.name for f in kind])
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return pa.list_(_arrow(kind[6:-1])) if kind.startswith("array<") else _ARROW[kind]
+
+
+def record(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of the columns that a schema ("a long, b array<int>") names, from arrays or lists in that order."""
+    fields = [f.split()[:2] for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v, type=_arrow(k)) for (_, k), v in zip(fields, columns.values(), strict=True)], names=[n for n, _ in fields])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
