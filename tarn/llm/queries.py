@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(packing.VOCABULARY))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import passages
 
@@ -29,6 +35,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), vocabulary(bytebpe.VOCABULARY))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import neardup
+
+    return neardup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import wordpieces
 
@@ -42,8 +54,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
