@@ -35,12 +35,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), vocabulary(bytebpe.VOCABULARY))
 
 
+def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import jpegmedia
+
+    return jpegmedia.media_features(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import neardup
 
     return neardup.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import warc
+
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import wordpieces
 
@@ -57,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_jpeg_media": op5_jpeg_media,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
