@@ -113,17 +113,12 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[owner[order]]), pa.array(first[order]), pa.array(second[order])], names=["doc_id", "w1", "w2"])
 
 
-def covered_words(words: base.Words, k: int, keys: tuple[np.ndarray, np.ndarray], gone: list[tuple[int, int]]) -> np.ndarray:
-    """For each word of document k: is it in a window that is gone."""
-    a, b = int(words.first[k]), int(words.first[k + 1])
-    n = b - a - WINDOW + 1
-    if n <= 0 or not gone:
-        return np.zeros(b - a, bool)
-    lost = np.array([(int(x) & base.MASK, int(y) & base.MASK) for x, y in gone], np.uint64)
-    both = lambda x, y: x ^ base.mix(y)
-    hit = np.isin(keys[0][a : a + n].view(np.uint64), lost[:, 0]) & np.isin(both(*(x[a : a + n].view(np.uint64) for x in keys)), both(lost[:, 0], lost[:, 1]))
-    at = np.flatnonzero(hit)
-    change = np.zeros(b - a + 1, np.int64)
+def covered_words(words: base.Words, gone: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each word of one document: is it in a window that is gone."""
+    first, second = (k.view(np.uint64) for k in _window_keys(words))
+    lost = [g.view(np.uint64) for g in gone]
+    at = np.flatnonzero(np.isin(first, lost[0]) & np.isin(first ^ base.mix(second), lost[0] ^ base.mix(lost[1])))
+    change = np.zeros(len(words) + 1, np.int64)
     np.add.at(change, at, 1)
     np.add.at(change, at + WINDOW, -1)
     return np.cumsum(change)[:-1] > 0
@@ -133,7 +128,7 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = hashlib.sha256(b"").hexdigest()
     for batch in batches:
         rest, rows = [], []
-        for doc, blob, copies, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "blob", "copies", "gone"))):
+        for doc, blob, copies, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "blob", "copies")), _lost(batch)):
             n, doc = int.from_bytes(blob[16:24], "little"), None if doc == LAST else doc
             if n >= WINDOW and copies and blob[:16] in copies:
                 rows.append((doc, n, n, nothing))
@@ -148,17 +143,25 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield base.record(SCHEMA, **dict(zip("abcd", zip(*rows))))
 
 
-def _kept(blob: bytes, gone: list) -> tuple[bytes, int, int]:
+def _lost(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """The windows that each row has to lose, without a Python object for each."""
+    column = batch.column("gone")
+    keys = [column.values.field(c).to_numpy(zero_copy_only=False) for c in ("w1", "w2")]
+    offs = column.offsets.to_numpy()
+    return [tuple(k[a:b] for k in keys) if a < b else None for a, b in zip(offs, offs[1:])]
+
+
+def _kept(blob: bytes, gone: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, int, int]:
     data = np.frombuffer(_unpack(blob), np.uint8)
     words = base.Words(data, np.array([0, len(data)]))
-    off = covered_words(words, 0, _window_keys(words), [(g["w1"], g["w2"]) for g in gone])
+    off = covered_words(words, gone)
     return b" ".join(w for w, x in zip(words.strings(), off) if not x), len(words), int(off.sum())
 
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []  # a null doc_id stays LAST here
-        for doc, blob, copies, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "blob", "copies", "gone"))):
+        for doc, blob, copies, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "blob", "copies")), _lost(batch)):
             if int.from_bytes(blob[16:24], "little") < WINDOW:
                 continue
             if copies and blob[:16] in copies:
