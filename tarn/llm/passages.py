@@ -185,7 +185,7 @@ def _judged(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     common = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     shared = rows.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
-    windows = own.join(shared, "doc_id").mapInArrow(_window_rows, "doc_id long not null, w1 long not null, w2 long not null")
+    windows = own.join(shared, "doc_id").mapInArrow(_window_rows, "doc_id long not null, w1 long not null, w2 long not null").repartition("w1", "w2")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     gone = windows.join(first, ["w1", "w2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set(F.struct("w1", "w2")).alias("gone"))
     return docs.join(gone, "doc_id", "left")
