@@ -76,8 +76,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = words.hashes()
         at = anchors(words, hashes)
         if len(at):
-            owner = np.array(ids, np.int64)[words.docs()[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(base.gram_hashes(hashes, ANCHOR)[at].view(np.int64)), pa.array(owner)], names=["anchor", "doc_id"])
+            docs, keys = words.docs()[at], base.gram_hashes(hashes, ANCHOR)[at]
+            once = np.unique(keys ^ base.mix(docs.astype(np.uint64)), return_index=True)[1]  # a text's repeats of an anchor say nothing
+            yield pa.RecordBatch.from_arrays([pa.array(keys[once].view(np.int64)), pa.array(np.array(ids, np.int64)[docs[once]])], names=["anchor", "doc_id"])
 
 
 def _windows(words: base.Words, marked: np.ndarray) -> np.ndarray:
