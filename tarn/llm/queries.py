@@ -29,6 +29,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import bytebpe
 
@@ -41,6 +47,12 @@ def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpegmedia.media_features(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import toxicity
+
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import neardup
 
@@ -68,8 +80,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_jpeg_media": op5_jpeg_media,
+    "op6_toxicity": op6_toxicity,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
