@@ -7,8 +7,9 @@ needs a Jaccard similarity of the shingle sets of THRESHOLD or more. Classes are
 
 Words are runs of letters, digits and bytes above 127 after lower-casing; under five words the whole text is one shingle, without any word the
 text itself. Texts with the same words are one text here, so copies are never paired. Within a band's bucket each text is first compared
-with the smallest one; then only texts that are still in different components are compared with each other, and only if the triangle
-inequality of the Jaccard distance allows a link. So no group of similar texts is expanded into its pairs.
+with the smallest one and, where that leaves several components, with the text that is most similar to it. Then only texts that are still in
+different components are compared, and only if a link is possible by the triangle inequality of the Jaccard distance, by their sizes,
+and by the shingles that no other text has. So no group of similar texts is expanded into its pairs, and no link is lost.
 
 A null text counts as empty; empty texts are one class. Ties cannot occur (64-bit arrivals, then the larger shingle hash). Rows with one doc_id and
 different texts join the classes of both. A null doc_id is an id of its own, that is above all others. An empty table gives an empty result.
@@ -158,6 +159,30 @@ def _verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     return both.select("a", "b", "blob_a", "blob_b").mapInArrow(_similar, "a long, b long, similarity double").checkpoint()
 
 
+def _placed(members: DataFrame, sims: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with their component so far and their similarity to the bucket's first centre."""
+    near = sims.select("a", F.col("b").alias("node"), "similarity")
+    return members.join(near, ["a", "node"], "left").join(found, "node", "left").select("bucket", "a", "node", F.coalesce("component", "node").alias("component"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for part in base.passes(batches, "blob"):
+        nodes = part.column("node").to_numpy()
+        doc, element, *_ = shingles([unpack.decompress(x).decode() for x in part.column("blob").to_pylist()])
+        size = np.bincount(doc, minlength=len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[doc]), pa.array(size[doc].astype(np.int64)), pa.array(element.view(np.int64))], names=["node", "size", "shingle"])
+
+
+def _reach(blobs: DataFrame) -> DataFrame:
+    """For each text its number of shingles, and that of the largest text that it can be similar to: shingles that no other of these texts has are lost to any pair."""
+    rows = blobs.mapInArrow(_shingle_rows, "node long not null, size long not null, shingle long not null")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = rows.groupBy("node").agg(F.max("size").alias("size"))
+    shared = F.col("size") - F.coalesce("alone", F.lit(0))
+    return sizes.join(alone, "node", "left").select("node", "size", (shared * ((1 + THRESHOLD) / THRESHOLD) - F.col("size") + 1e-6).alias("reach"))
+
+
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, text_id (the smallest id of the same words) and class_id (the smallest id of the class)."""
     spark = df.sparkSession
@@ -181,18 +206,31 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     links = sims.where(F.col("similarity") >= THRESHOLD).select("a", "b")
     found = components(links).checkpoint()
 
-    # Texts of a bucket that are still apart, and that may be linked by what is known of both and the bucket's smallest text.
-    placed = (
-        members.join(sims.select("a", F.col("b").alias("node"), "similarity"), ["a", "node"], "left")
-        .join(found, "node", "left")
-        .select("bucket", "node", F.coalesce("component", "node").alias("component"), (1 - F.coalesce("similarity", F.lit(1.0))).alias("far"))
-    )
+    # Buckets whose texts are still in several components get a second centre: the text that is most similar to the first.
+    placed = _placed(members, sims, found)
+    second = placed.where("node > a").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("node", F.struct("similarity", -F.col("node"))).alias("c"), F.max_by("component", F.struct("similarity", -F.col("node"))).alias("own")).where("low < high or own <> low")
+    again = placed.join(second.select("bucket", "c", "own"), "bucket").where("component <> own and node <> c").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
+    extra = _verified(again.join(sims.select("a", "b"), ["a", "b"], "left_anti"), blobs)
+    links = links.union(extra.where(F.col("similarity") >= THRESHOLD).select("a", "b"))
+    found = components(links).checkpoint()
+
+    # What is still apart, and may be linked by all that is known of both, is compared in full.
+    placed = _placed(members, sims, found)
     parted = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ = placed.where("far > 0").join(parted, "bucket").checkpoint()
-    x, y = open_.alias("x"), open_.alias("y")
+    open_ = placed.where("node > a").withColumn("far", 1 - F.col("similarity")).join(parted, "bucket").select("bucket", "node", "component", "far").checkpoint()
+    sized = open_.join(_reach(blobs.join(open_.select("node").distinct(), "node", "left_semi")), "node")
+    for _ in range(2):  # a text that no other of its bucket is small enough for has no partner; without it others may have none
+        least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
+        sized = sized.join(least, "bucket").where(F.col("reach") >= F.col("least")).drop("least")
+    sized = sized.checkpoint()
+    x, y = sized.alias("x"), sized.alias("y")
     slack = 1 - THRESHOLD + 1e-9
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.far") - F.col("y.far")) <= slack))
-    pairs = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(sims.select("a", "b"), ["a", "b"], "left_anti")
+    rest = x.join(
+        y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.far") - F.col("y.far")) <= slack)
+        & (F.col("y.size") <= F.col("x.reach")) & (F.col("x.size") <= F.col("y.reach")),
+    )
+    seen = sims.select("a", "b").union(extra.select("a", "b"))
+    pairs = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
     more = _verified(pairs, blobs).where(F.col("similarity") >= THRESHOLD).select("a", "b")
 
     linked = own.join(twice, F.col("b") == F.col("node"), "left_semi")
