@@ -14,6 +14,7 @@ A null or empty text is the end token alone. Every token lies in exactly one pie
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,16 +28,23 @@ VOCABULARY = "word_bpe_49k.json"
 END, LENGTH, MAX_SEGMENTS = 2, 4096, 512
 #: Tokens that wait to be packed together, and the shortest part that is cut to close a gap.
 POOL, MIN_CUT = 1 << 20, 16
-#: Words that one generation of a worker's cache holds.
-CACHE = 200_000
+#: Parts of texts that one generation of a worker's cache holds.
+CACHE = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segments long, loss_tokens long"
 
-# White space at which a text can be cut without changing any word's tokens: ASCII only.
+# Letters, numbers and white space of lower-cased Latin-1, and the pieces that the tokenizer's own pattern takes from such a text.
+_LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+# ASCII white space; other texts are cut there, which changes no word's tokens.
 _BLANKS = str.maketrans("\t\n\r\x0b\x0c", "     ")
 
 
 class Tokens:
-    """Ids of texts, by words: between two blanks, a word's ids don't depend on its neighbours, so they are kept."""
+    """Ids of texts from ids of their parts, which are kept in a cache of two generations.
+
+    Ids of a part don't depend on its neighbours. A Latin-1 text is cut into the tokenizer's own pieces, each of which ends with the only token of it that closes a
+    word; so many unseen pieces are encoded as one text and told apart by those tokens. Other texts are cut into words.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,26 +52,51 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, followed by END."""
-        split = [(t or "").translate(_BLANKS).split(" ") for t in texts]
-        young, old = self.young, self.old
-        if len(young) > CACHE:
-            self.old, self.young = old, young = young, {}
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: set[str], pieces: bool) -> None:
         unseen = []
-        for w in set().union(*split).difference(young):
-            if (ids := old.get(w)) is None:
+        for w in parts.difference(self.young):
+            if (ids := self.old.get(w)) is None:
                 unseen.append(w)
             else:
-                young[w] = ids
-        if unseen:
-            for w, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
-                young[w] = np.array(e.ids, "<u4").tobytes()
-        get, end = young.__getitem__, END.to_bytes(4, "little")
-        return [np.frombuffer(b"".join(map(get, words)) + end, "<u4") for words in split]
+                self.young[w] = ids
+        for k in range(0, len(unseen), 2000):
+            some = unseen[k : k + 2000]
+            if pieces:
+                ids = np.array(self._encode([" ".join(some)])[0], "<u4")
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(some):
+                    raw, stops = ids.tobytes(), (ends * 4).tolist()
+                    self.young.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+                    continue
+            self.young.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(some, self._encode(some)))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, followed by END."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        parts, latin = [], []
+        for t in texts:
+            t = t or ""
+            try:
+                t.encode("latin-1")
+                parts.append(_PIECES.findall(t.lower()))
+                latin.append(True)
+            except UnicodeEncodeError:
+                parts.append(t.translate(_BLANKS).split(" "))
+                latin.append(False)
+        for kind in (True, False):
+            self._learn(set().union(*(p for p, x in zip(parts, latin) if x is kind)), kind)
+        get, end = self.young.__getitem__, END.to_bytes(4, "little")
+        return [np.frombuffer(b"".join(map(get, p)) + end, "<u4") for p in parts]
 
 
 _LOADED: dict[str, Tokens] = {}
