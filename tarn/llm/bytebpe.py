@@ -24,7 +24,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS_SCHEMA = "doc_id long, ids array<int>, starts array<int>"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Slices that one generation of the cache holds; two generations are kept.
-CACHE = 200_000
+CACHE = 400_000
 BLOCK = 128
 
 # Classes of codepoints. LETTER1: s t m d, that complete a contraction; PAIR1: r v l that their next letter completes.
