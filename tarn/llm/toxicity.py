@@ -50,6 +50,7 @@ class Lexicon:
         self.term = [-1]
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[int, set[str]] = {}
+        self.variants: set[str] = set()  # terms, whole and without one letter: a word one edit away is one of them, or is so without one letter
         for k, t in enumerate(terms):
             v = 0
             for c in t:
@@ -63,6 +64,7 @@ class Lexicon:
                 half = len(t) // 2
                 self.heads.setdefault(half, set()).add(t[:half])
                 self.tails.setdefault(len(t) - half, set()).add(t[half:])
+                self.variants |= {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}
 
     def near(self, word: str) -> tuple[int, int] | None:
         """The term with the fewest edits from the word, and their number; the longest of several, then the first."""
@@ -70,8 +72,11 @@ class Lexicon:
             return self.terms[word], 0
         if len(word) < LEAST_LETTERS - self.edits or not self.edits:
             return None
-        if self.edits == 1 and not (any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())):
-            return None
+        if self.edits == 1:  # cheap tests that no near word fails
+            if not (any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())):
+                return None
+            if word not in self.variants and not any(word[:i] + word[i + 1 :] in self.variants for i in range(len(word))):
+                return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i + 1
