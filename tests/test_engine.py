@@ -213,3 +213,17 @@ def test_layout_needs_both_signs(spark):
     rows = [("f", k, "COMPLETED" if k == 4 else "job", "{N1}" if k == 4 else "OK") for k in range(5)] + [("g", k, "COMPLETED" if k == 5 else "job", "{N}") for k in range(6)] + [("h", 0, "FAILED", None), ("i", 0, None, None), ("i", 9, "TIMEOUT", "{")]
     found = {r.file_id: r.is_legacy for r in cleaning.detect_layout(spark.createDataFrame(rows, "file_id string, row_index long, jobname string, exitcode string")).collect()}
     assert found == {"f": True, "g": False, "h": False, "i": True}
+
+
+def test_incremental_jobs(spark, tmp_path):
+    from tarn.streaming import incremental
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    root, table, mark = f"{tmp_path}/data", f"{tmp_path}/partials", f"{tmp_path}/mark"
+    write_file(root, "2023/01/01/a.parquet", [new("1", 20.0), new("1", 40.0), new("2")])
+    schema = spark.read.parquet(f"{root}/2023/01/01/a.parquet").schema
+    incremental.start(spark, root, schema, table, mark).awaitTermination(60)
+    write_file(root, "2023/01/02/b.parquet", [new("1", 90.0), new("3", cores=0)])
+    incremental.start(spark, root, schema, table, mark).awaitTermination(60)
+    found = {r.jid: r.job_cpu_usage for r in incremental.job_table(spark, table).collect()}
+    assert found == {"1": 50.0, "2": 50.0}
