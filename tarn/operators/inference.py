@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.distributions import chi2_sf, f_sf, t_quantile
+from tarn.operators import ranks
 
 MEASURES = ("cpu_waste", "mem_waste", "composite_waste")
 MORE_THAN = 5
@@ -52,19 +52,14 @@ def anova_test(jobs: DataFrame, key: str = "job_exitcode") -> dict | None:
 def kruskal(jobs: DataFrame, key: str = "size_category", of: str = "composite_waste") -> DataFrame:
     """Kruskal-Wallis H with average ranks and the correction for ties, over groups of more than MORE_THAN rows; null if all values are equal.
 
-    Ranks come from counts of distinct values. Those are put in ranges; a running sum within each range, and the totals of the ranges before it,
-    give the ranks, so no partition holds all values.
+    Average ranks come from counts of distinct values, cell by cell (see ranks.py), so no task holds all values.
     """
     rows = jobs.where(F.col(key).isNotNull() & F.col(of).isNotNull()).select(F.col(key).alias("g"), F.col(of).alias("v"))
     large = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > MORE_THAN)
-    counts = rows.join(F.broadcast(large.select("g")), "g", "left_semi").groupBy("v", "g").agg(F.count("*").alias("c"))  # as many groups as labels
-    values = counts.groupBy("v").agg(F.sum("c").alias("t"))
-    ranged = values.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    sums = ranged.groupBy("part").agg(F.sum("t").alias("size"))
-    before = sums.select("part", (F.sum("size").over(W.orderBy("part")) - F.col("size")).alias("base"))  # a row per range
-    local = F.sum("t").over(W.partitionBy("part").orderBy("v"))
-    ranks = ranged.withColumn("cum", local).join(F.broadcast(before), "part").select("v", "t", (F.col("base") + F.col("cum") - F.col("t") + (F.col("t") + 1) / 2).alias("rank"))
-    by_group = counts.join(ranks.select("v", "rank"), "v").groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
+    counts = rows.join(large.select("g"), "g", "left_semi").groupBy("v", "g").agg(F.count("*").alias("c"))
+    values = ranks.counted(counts.groupBy("v").agg(F.sum("c").alias("t")), [], presummed=True)
+    ranked = ranks.cumulative(values, ranks.offsets(values, []), []).select("v", "t", (F.col("cum") - F.col("t") + (F.col("t") + 1) / 2).alias("rank"))
+    by_group = counts.join(ranked.select("v", "rank"), "v").groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
     cubes = F.pow(F.col("t").cast("double"), 3) - F.col("t")
     ties = values.agg(F.sum(cubes).alias("ties"))
     h = by_group.agg(F.count("*").alias("k"), F.sum("n").cast("double").alias("total"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s")).where("k > 1")

@@ -7,6 +7,8 @@ from decimal import ROUND_HALF_EVEN, Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.operators.ranks import smallest
+
 FIRSTS = ("start_time", "end_time", "job_exitcode", "queue", "job_username", "ncores", "nhosts", "duration_hours")
 MEASURES = ("job_cpu_usage", "value_memused")
 JOB_COLUMNS = ("jid", *FIRSTS, *MEASURES)
@@ -50,11 +52,9 @@ def sample_size(n: int, fraction: float) -> int:
 
 
 def sample_job_ids(samples: DataFrame, fraction: float, seed: int = SEED) -> DataFrame:
-    """round(fraction * n) of the n job ids, those with the smallest digests of seed and id. The result is a stated share of the ids, so a top-k by sort is
-    what is asked for; only their number comes to the driver."""
-    ids = distinct_jobs(samples)
-    n = sample_size(ids.count(), fraction)
-    return ids.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("jid").cast("string"))), F.col("jid")).limit(n)
+    """round(fraction * n) of the n job ids, those with the smallest digests of seed and id; only their number comes to the driver."""
+    ids = distinct_jobs(samples).withColumn("_digest", F.md5(F.concat(F.lit(f"{seed}:"), F.col("jid").cast("string"))))
+    return smallest(ids, "_digest", sample_size(ids.count(), fraction)).select("jid")
 
 
 def filter_sampled(samples: DataFrame, ids: DataFrame | None) -> DataFrame:

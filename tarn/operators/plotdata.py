@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.numeric import DOMAINS, DURATION, ordinal
-from tarn.operators import summaries
+from tarn.operators import ranks, summaries
 
 DAYS = 7
 
@@ -26,7 +26,7 @@ def histogram(jobs: DataFrame, of: str = "composite_waste", bins: int = 50) -> D
 def boxes(jobs: DataFrame, key: str, of: str = "composite_waste") -> DataFrame:
     """Per group: quartiles, whiskers (the furthest values within 1.5 interquartile ranges of the box), and how many values lie outside them."""
     rows = jobs.where(F.col(key).isNotNull() & F.col(of).isNotNull()).select(F.col(key).alias("g"), F.col(of).alias("v"))
-    q = rows.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"), F.avg("v").alias("m"))
+    q = ranks.quantiles(rows, (0.25, 0.5, 0.75), ["g"]).join(rows.groupBy("g").agg(F.avg("v").alias("m")), "g")
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = (F.col("v") >= F.col("q")[0] - reach) & (F.col("v") <= F.col("q")[2] + reach)
     out = rows.join(q, "g").groupBy("g", "q", "n", "m").agg(F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(1)).alias("outliers"))

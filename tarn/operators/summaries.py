@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.numeric import DOMAINS, ordinal, round_even
+from tarn.operators.ranks import quantiles
 
 MEASURES = ("cpu_waste", "mem_waste", "composite_waste")
 THRESHOLDS = (0.5, 0.75, 0.9)
@@ -20,10 +21,12 @@ def pearson(x: str, y: str) -> Column:
 
 
 def overall(jobs: DataFrame) -> DataFrame:
-    return jobs.agg(
-        F.count("*").alias("total_jobs"), F.avg("cpu_waste").alias("cpu_waste_mean"), F.median("cpu_waste").alias("cpu_waste_median"), F.stddev_samp("cpu_waste").alias("cpu_waste_std"),
-        F.avg("mem_waste").alias("mem_waste_mean"), F.avg("composite_waste").alias("composite_waste_mean"),
+    plain = jobs.agg(
+        F.count("*").alias("total_jobs"), F.avg("cpu_waste").alias("cpu_waste_mean"), F.stddev_samp("cpu_waste").alias("cpu_waste_std"), F.avg("mem_waste").alias("mem_waste_mean"),
+        F.avg("composite_waste").alias("composite_waste_mean"),
     )
+    middle = quantiles(jobs.select(F.col("cpu_waste").alias("v")), (0.5,), []).select(F.col("q")[0].alias("cpu_waste_median"))  # one row, or none
+    return plain.join(middle, F.lit(True), "left").select("total_jobs", "cpu_waste_mean", "cpu_waste_median", "cpu_waste_std", "mem_waste_mean", "composite_waste_mean")
 
 
 def thresholds(jobs: DataFrame) -> DataFrame:
@@ -114,8 +117,8 @@ def daily(jobs: DataFrame) -> DataFrame:
 
 def percentiles(jobs: DataFrame, of: str = "composite_waste", points: tuple[int, ...] = (25, 50, 75, 90)) -> DataFrame:
     """Exact percentiles with linear interpolation, one row each."""
-    wide = jobs.agg(F.percentile(of, F.array(*[F.lit(p / 100) for p in points])).alias("v"))
-    return wide.select(F.posexplode("v").alias("k", "value")).select(F.element_at(F.array(*[F.lit(p) for p in points]), F.col("k") + 1).alias("percentile"), "value")
+    wide = quantiles(jobs.select(F.col(of).alias("v")), tuple(p / 100 for p in points), [])
+    return wide.select(F.posexplode("q").alias("k", "value")).select(F.element_at(F.array(*[F.lit(p) for p in points]), F.col("k") + 1).alias("percentile"), "value")
 
 
 def counters(jobs: DataFrame, samples: DataFrame) -> DataFrame:
