@@ -157,7 +157,7 @@ def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         base = int(rng.integers(1 << 62, 1 << 63)) * 2 | 5
         _TABLES[seed] = (rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), base & MASK, pow(base, -1, 1 << 64))
     table, base, inverse = _TABLES[seed]
-    if seed not in _POWERS or len(_POWERS[seed][0]) < n:
+    if seed not in _POWERS or len(_POWERS[seed][0]) <= n:  # n + 1 powers, so that a stretch of n bytes is never taken for a longer one
         size = max(n, 1 << 16)
         steps = np.empty((2, size + 1), np.uint64)
         steps[:, 0], steps[0, 1:], steps[1, 1:] = 1, base, inverse
@@ -177,7 +177,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
             k = max(i + 1, int(np.searchsorted(ends, low + HASH_BYTES, side="right")))
             high = int(ends[k - 1])
             table, up, down = _powers(seed, min(high - low, 4 * HASH_BYTES))
-            if high - low >= len(up):  # one span longer than the powers kept
+            if high - low >= len(up):  # one span that is longer than the powers kept, which grow to any stretch of several
+                assert k == i + 1
                 out[i] = _long_hash(data[low:high], table, up)
             else:
                 sums = np.zeros(high - low + 1, np.uint64)

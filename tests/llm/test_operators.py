@@ -102,6 +102,23 @@ def test_hashes_of_long_spans():
     assert base.span_hashes(np.tile(data[:10], 2), np.array([0, 10]), np.array([10, 20])).tolist() == [whole[0]] * 2
 
 
+def test_hashes_do_not_depend_on_what_stands_before(monkeypatch):
+    monkeypatch.setattr(base, "HASH_BYTES", 1000)
+    base._POWERS.clear()
+    rnd = random.Random(4)
+    ends = np.cumsum([rnd.randint(1, 40) for _ in range(5000)] + [70_000, 5, 5])
+    data = np.frombuffer(rnd.randbytes(int(ends[-1])), np.uint8)
+    starts = np.concatenate([[0], ends[:-1]])
+    got = base.span_hashes(data, starts, ends)
+    alone = [base.span_hashes(data[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(starts.tolist(), ends.tolist())]
+    assert got.tolist() == alone
+    for size in (999, 1000, 1001, 65_535, 65_536, 65_537):  # at and around the powers that are there
+        base._POWERS.clear()
+        base._powers(1, size - 1)
+        cut = np.array([0, size // 2, size])
+        assert base.span_hashes(data[:size], cut[:-1], cut[1:]).tolist() == [base.span_hashes(data[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(cut[:-1], cut[1:])]
+
+
 # 1: packing
 
 
