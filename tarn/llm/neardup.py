@@ -7,9 +7,11 @@ needs a Jaccard similarity of the shingle sets of THRESHOLD or more. Classes are
 
 Words are runs of letters, digits and bytes above 127 after lower-casing; under five words the whole text is one shingle, without any word the
 text itself. Texts with the same words are one text here, so copies are never paired. Within a band's bucket each text is first compared
-with the smallest one and, where that leaves several components, with the text that is most similar to it. Then only texts that are still in
-different components are compared, and only if a link is possible by the triangle inequality of the Jaccard distance, by their sizes,
-and by the shingles that no other text has. So no group of similar texts is expanded into its pairs, and no link is lost.
+with the smallest one and, where that does not link them all, with the text that is most similar to it. The better of these two is a pivot. Then only texts
+around a pivot that are still in different components are compared, and only if a link is possible by the triangle inequality of the Jaccard
+distance, by their sizes and by the shingles that no other text has, and if they have a shingle in common that the pivot lacks; where one is
+smaller than the pivot, a bound by their overlaps with it takes the place of the last test. These tests fail for no pair that is similar enough,
+so no group of similar texts is expanded into its pairs and no link is lost.
 
 A null text counts as empty; empty texts are one class. Ties cannot occur (64-bit arrivals, then the larger shingle hash). Rows with one doc_id and
 different texts join the classes of both. A null doc_id is an id of its own, that is above all others. An empty table gives an empty result.
@@ -159,12 +161,6 @@ def _verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     return both.select("a", "b", "blob_a", "blob_b").mapInArrow(_similar, "a long, b long, similarity double").checkpoint()
 
 
-def _placed(members: DataFrame, sims: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets with their component so far and their similarity to the bucket's first centre."""
-    near = sims.select("a", F.col("b").alias("node"), "similarity")
-    return members.join(near, ["a", "node"], "left").join(found, "node", "left").select("bucket", "a", "node", F.coalesce("component", "node").alias("component"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
-
-
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for part in base.passes(batches, "blob"):
@@ -183,6 +179,29 @@ def _reach(blobs: DataFrame) -> DataFrame:
     return sizes.join(alone, "node", "left").select("node", "size", (shared * ((1 + THRESHOLD) / THRESHOLD) - F.col("size") + 1e-6).alias("reach"))
 
 
+def _outer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for part in base.passes(batches, "blob"):
+        known: dict[int, np.ndarray] = {}
+        texts = {**dict(zip(part.column("p").to_pylist(), part.column("pivot").to_pylist())), **dict(zip(part.column("node").to_pylist(), part.column("blob").to_pylist()))}
+        doc, element, *_ = shingles([unpack.decompress(x).decode() for x in texts.values()])
+        edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+        known = {k: element[a:b] for k, a, b in zip(texts, edges, edges[1:])}
+        p, node = part.column("p").to_pylist(), part.column("node").to_pylist()
+        own = [known[n][~np.isin(known[n], known[c])] for c, n in zip(p, node)]
+        size = [len(o) for o in own]
+        if sum(size):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p, size)), pa.array(np.repeat(node, size)), pa.array(np.concatenate(own).view(np.int64))], names=["p", "node", "shingle"])
+
+
+def _outer(sized: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The shingles of texts that their pivot lacks and another text around it has too."""
+    texts = sized.select("p", "node").join(blobs, "node").join(blobs.select(F.col("node").alias("p"), F.col("blob").alias("pivot")), "p")
+    rows = texts.select("p", "node", "pivot", "blob").mapInArrow(_outer_rows, "p long not null, node long not null, shingle long not null").checkpoint()
+    met = rows.groupBy("p", "shingle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(met, ["p", "shingle"]).join(sized.select("p", "node", "component", "far", "size", "reach"), ["p", "node"])
+
+
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, text_id (the smallest id of the same words) and class_id (the smallest id of the class)."""
     spark = df.sparkSession
@@ -207,30 +226,43 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = components(links).checkpoint()
 
     # Buckets whose texts are still in several components get a second centre: the text that is most similar to the first.
-    placed = _placed(members, sims, found)
-    second = placed.where("node > a").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("node", F.struct("similarity", -F.col("node"))).alias("c"), F.max_by("component", F.struct("similarity", -F.col("node"))).alias("own")).where("low < high or own <> low")
-    again = placed.join(second.select("bucket", "c", "own"), "bucket").where("component <> own and node <> c").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-    extra = _verified(again.join(sims.select("a", "b"), ["a", "b"], "left_anti"), blobs)
-    links = links.union(extra.where(F.col("similarity") >= THRESHOLD).select("a", "b"))
+    near = members.join(sims.withColumnRenamed("b", "node"), ["a", "node"]).join(found, "node", "left").select("bucket", "a", "node", "similarity", F.coalesce("component", "node").alias("component"))
+    best = F.struct("similarity", -F.col("node"))
+    second = near.groupBy("bucket", "a").agg(F.max("similarity").alias("most"), F.max_by("node", best).alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("similarity").alias("least"))
+    second = second.where((F.col("low") < F.col("high")) | (F.col("least") < THRESHOLD)).select("bucket", "a", "c").checkpoint()
+    open_ = members.select("bucket", "node").join(second, "bucket")
+    pairs = open_.where("node <> c and node <> a").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
+    extra = _verified(pairs.join(sims.select("a", "b"), ["a", "b"], "left_anti"), blobs)
+    sims = sims.union(extra)
+    links = sims.where(F.col("similarity") >= THRESHOLD).select("a", "b")
     found = components(links).checkpoint()
 
-    # What is still apart, and may be linked by all that is known of both, is compared in full.
-    placed = _placed(members, sims, found)
-    parted = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ = placed.where("node > a").withColumn("far", 1 - F.col("similarity")).join(parted, "bucket").select("bucket", "node", "component", "far").checkpoint()
-    sized = open_.join(_reach(blobs.join(open_.select("node").distinct(), "node", "left_semi")), "node")
-    for _ in range(2):  # a text that no other of its bucket is small enough for has no partner; without it others may have none
-        least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
-        sized = sized.join(least, "bucket").where(F.col("reach") >= F.col("least")).drop("least")
-    sized = sized.checkpoint()
-    x, y = sized.alias("x"), sized.alias("y")
+    # Texts around a pivot, the centre that is more similar to its bucket. What is known of a text: its component, its similarity to the pivot, its size.
+    both = sims.union(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    rated = open_.select("bucket", "node", F.explode(F.array("a", "c")).alias("p")).distinct().where("node <> p").join(both.select(F.col("a").alias("p"), F.col("b").alias("node"), "similarity"), ["p", "node"])
+    pivots = rated.groupBy("bucket", "p").agg(F.avg("similarity").alias("mean")).groupBy("bucket").agg(F.max_by("p", F.struct("mean", -F.col("p"))).alias("p"))
+    around = rated.join(pivots, ["bucket", "p"]).groupBy("p", "node").agg(F.max("similarity").alias("similarity")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parted = around.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("p")
+    around = around.join(parted, "p").checkpoint()
+    sizes = _reach(blobs.join(around.select("node").union(around.select(F.col("p").alias("node"))).distinct(), "node", "left_semi")).checkpoint()
+    sized = around.join(sizes, "node").join(sizes.select(F.col("node").alias("p"), F.col("size").alias("p_size")), "p")
+    for _ in range(2):  # a text that no other around its pivot is small enough for has no partner; without it others may have none
+        least = sized.groupBy("p").agg(F.min("size").alias("least"))
+        sized = sized.join(least, "p").where(F.col("reach") >= F.col("least")).drop("least")
+    kept = F.col("similarity") / (1 + F.col("similarity")) * (F.col("p_size") + F.col("size"))  # shingles that it has in common with the pivot
+    sized = sized.withColumns({"far": 1 - F.col("similarity"), "within": kept * ((1 + THRESHOLD) / THRESHOLD) - F.col("size") + 1e-6}).checkpoint()
+
+    # A pair whose common shingles are all the pivot's: each is at most `within` the other's size, so one is smaller than the pivot, or both are linked to it.
     slack = 1 - THRESHOLD + 1e-9
-    rest = x.join(
-        y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.far") - F.col("y.far")) <= slack)
-        & (F.col("y.size") <= F.col("x.reach")) & (F.col("x.size") <= F.col("y.reach")),
-    )
-    seen = sims.select("a", "b").union(extra.select("a", "b"))
-    pairs = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
+    x, y = sized.where(F.col("size") < F.col("p_size")).alias("x"), sized.where(F.col("similarity") < THRESHOLD).alias("y")
+    apart = (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.far") - F.col("y.far")) <= slack) & (F.col("y.size") <= F.col("x.reach")) & (F.col("x.size") <= F.col("y.reach"))
+    inside = x.join(y, (F.col("x.p") == F.col("y.p")) & apart & (F.col("x.size") <= F.col("y.within")) & (F.col("y.size") <= F.col("x.within")))
+    # Any other pair has a shingle in common that the pivot lacks.
+    outer = _outer(sized, blobs)
+    x, y = outer.alias("x"), outer.alias("y")
+    outside = x.join(y, (F.col("x.p") == F.col("y.p")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & apart)
+    wanted = [j.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")) for j in (inside, outside)]
+    pairs = wanted[0].union(wanted[1]).distinct().join(sims.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(pairs, blobs).where(F.col("similarity") >= THRESHOLD).select("a", "b")
 
     linked = own.join(twice, F.col("b") == F.col("node"), "left_semi")
