@@ -67,33 +67,33 @@ def _box(key: str) -> str:
  select g as {key}, n as count, {_r('q1', 'q1')}, {_r('q2', 'median')}, {_r('q3', 'q3')}, {_r('min(v) filter (inside)', 'whisker_low')}, {_r('max(v) filter (inside)', 'whisker_high')}, count(*) filter (not inside) as outliers from x group by g, n, q1, q2, q3"""
 
 
-_HOURS, _TOTAL = 3, 2
+_HOURS, _TOTAL = 8, 2
 _DAILY = """, d as (select start_time::date as date, avg(composite_waste) as mean, stddev_samp(composite_waste) as std, count(composite_waste) as count, sum(cpu_hours_wasted) as cpu_hours_wasted from w group by 1)"""
 _DAYS = f"date::varchar as date, {_r('mean', 'mean')}, {_r('std', 'std')}, count, {_r('cpu_hours_wasted', 'cpu_hours_wasted', _HOURS)}"
 _CELLS = ", ".join(_r(f"avg(composite_waste) filter (duration_category = '{c}')", n) for c, n in zip(DURATION[1], ("short", "medium", "long", "very_long")))
 _FIRST = ("start_time", "end_time", "job_exitcode", "queue", "job_username")
 
 ORACLE: dict[str, str] = {
-    "scan_samples": f"{_SAMPLED} select jid, file_id, time, start_time, end_time, job_exitcode, queue, job_username, {_r('job_cpu_usage', 'job_cpu_usage')}, {_r('value_memused', 'value_memused')}, ncores, nhosts from samples",
+    "scan_samples": f"{_SAMPLED} select jid, file_id, time, start_time, end_time, job_exitcode, queue, job_username, {_r('job_cpu_usage', 'job_cpu_usage', 9)}, {_r('value_memused', 'value_memused', 9)}, ncores, nhosts from samples",
     "discover_files": f"with {_FILES} select * from files",
     "prune_years": f"with {_FILES} select * from files where year in ('1995', '1996')",
     "filter_system_files": f"with {_FILES} select * from files where contains(file_name, '_S')",
     "limit_files_per_day": f"with {_FILES} select path, year, month, day, file_name from files qualify row_number() over (partition by year, month, day order by file_name) <= 2",
     "stride_files": f"with {_FILES}, k as (select *, row_number() over (order by path) - 1 as k, count(*) over () as n from files) select path, year, month, day, file_name from k where k % greatest(1, n // 20) = 0",
     "detect_layout": f"with {_RAW} select distinct file_id, legacy as is_legacy from raw",
-    "normalize_legacy": f"with {_RAW} select file_id, jid, case o_orderstatus when 'F' then 'FAILED' else 'COMPLETED' end as job_exitcode, usr as job_username, {_r('cpu', 'job_cpu_usage')} from raw where legacy",
-    "normalize_current": f"with {_RAW} select file_id, jid, o_orderstatus as job_exitcode, usr as job_username, {_r('cpu', 'job_cpu_usage')} from raw where not legacy",
+    "normalize_legacy": f"with {_RAW} select file_id, jid, case o_orderstatus when 'F' then 'FAILED' else 'COMPLETED' end as job_exitcode, usr as job_username, {_r('cpu', 'job_cpu_usage', 9)} from raw where legacy",
+    "normalize_current": f"with {_RAW} select file_id, jid, o_orderstatus as job_exitcode, usr as job_username, {_r('cpu', 'job_cpu_usage', 9)} from raw where not legacy",
     "cast_timestamps": f"with {_RAW}, bad as (select distinct file_id from raw where time is null) select file_id, jid, time, start_time, end_time from raw where file_id not in (select file_id from bad)",
     "cast_numerics": "select l_orderkey as jid, l_linenumber as file_id, case l_linenumber when 1 then l_quantity::integer::double when 2 then l_quantity::integer * 10.0::double when 5 then l_quantity::integer::double end as value from lineitem",
     "job_duration": f"with {CLEAN} select jid, file_id, duration_seconds, {_r('duration_seconds / 3600.0::double', 'duration_hours')} from timed",
-    "clean_samples": f"{_CLEAN} select jid, file_id, {_r('job_cpu_usage', 'job_cpu_usage')}, {_r('value_memused', 'value_memused')}, ncores, {_r('duration_hours', 'duration_hours')} from clean",
-    "sample_filter": f"{_CLEAN}, {_SAMPLE} select jid, file_id, {_r('job_cpu_usage', 'job_cpu_usage')}, {_r('value_memused', 'value_memused')} from clean where jid in (select jid from chosen)",
+    "clean_samples": f"{_CLEAN} select jid, file_id, {_r('job_cpu_usage', 'job_cpu_usage', 9)}, {_r('value_memused', 'value_memused', 9)}, ncores, {_r('duration_hours', 'duration_hours')} from clean",
+    "sample_filter": f"{_CLEAN}, {_SAMPLE} select jid, file_id, {_r('job_cpu_usage', 'job_cpu_usage', 9)}, {_r('value_memused', 'value_memused', 9)} from clean where jid in (select jid from chosen)",
     "sample_jobs": f"{_CLEAN}, {_SAMPLE} select jid from chosen",
     "distinct_jobs": f"{_CLEAN} select distinct jid from clean",
     "run_counters": f"{_CLEAN} select count(distinct jid) as total_jobs, count(distinct file_id) as non_empty_files from clean",
-    "job_partial": f"{_CLEAN} select file_id, jid, " + ", ".join(f"first({c} order by row_index) as {c}_first" for c in (*_FIRST, "ncores", "nhosts")) + f", {_r('first(duration_hours order by row_index)', 'duration_hours_first')}, {_r('avg(job_cpu_usage)', 'job_cpu_usage_mean')}, count(job_cpu_usage) as job_cpu_usage_count, {_r('avg(value_memused)', 'value_memused_mean')}, count(value_memused) as value_memused_count from clean group by file_id, jid",
-    "job_weighted_mean": f"{_CLEAN} select jid, {_r('avg(job_cpu_usage)', 'job_cpu_usage')}, {_r('avg(value_memused)', 'value_memused')} from clean group by jid",
-    "job_table": f"{_JOBS} select jid, {', '.join(_FIRST)}, ncores, nhosts, {_r('duration_hours', 'duration_hours')}, {_r('job_cpu_usage', 'job_cpu_usage')}, {_r('value_memused', 'value_memused')} from jobs",
+    "job_partial": f"{_CLEAN} select file_id, jid, " + ", ".join(f"first({c} order by row_index) as {c}_first" for c in (*_FIRST, "ncores", "nhosts")) + f", {_r('first(duration_hours order by row_index)', 'duration_hours_first')}, {_r('avg(job_cpu_usage)', 'job_cpu_usage_mean', 9)}, count(job_cpu_usage) as job_cpu_usage_count, {_r('avg(value_memused)', 'value_memused_mean', 9)}, count(value_memused) as value_memused_count from clean group by file_id, jid",
+    "job_weighted_mean": f"{_CLEAN} select jid, {_r('avg(job_cpu_usage)', 'job_cpu_usage', 9)}, {_r('avg(value_memused)', 'value_memused', 9)} from clean group by jid",
+    "job_table": f"{_JOBS} select jid, {', '.join(_FIRST)}, ncores, nhosts, {_r('duration_hours', 'duration_hours')}, {_r('job_cpu_usage', 'job_cpu_usage', 9)}, {_r('value_memused', 'value_memused', 9)} from jobs",
     "cpu_waste": f"{_WASTE} select jid, {_r('cpu_waste', 'cpu_waste')} from w",
     "job_system": f"{_WASTE} select jid, system from w",
     "mem_per_core": f"{_WASTE} select jid, mem_per_core from w",

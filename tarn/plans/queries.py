@@ -13,8 +13,11 @@ from tarn.plans import fixtures, pipeline
 from tarn.sources import discovery
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Columns whose values are large are rounded to fewer digits.
-COARSE = {"total_cpu_hours_wasted": 2, "total_mem_gb_hours_wasted": 2, "cpu_hours_wasted": 3, "mem_gb_hours_wasted": 3, "duration_seconds": 6}
+#: Columns rounded to other than six digits: large totals to fewer; means and products of decimals to more, so that none lies half way.
+DIGITS = {
+    "total_cpu_hours_wasted": 2, "total_mem_gb_hours_wasted": 2, "cpu_hours_wasted": 8, "mem_gb_hours_wasted": 8,
+    **{f"{c}{s}": 9 for c in ("job_cpu_usage", "value_memused") for s in ("", "_mean")},
+}
 FRACTION = 0.1
 
 
@@ -23,7 +26,7 @@ def plain(df: DataFrame) -> DataFrame:
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
-        out.append((c.cast("timestamp_ntz") if kind == "timestamp" else round_even(c, COARSE.get(name, 6)) if kind == "double" else c.cast("string") if kind == "date" else c).alias(name))
+        out.append((c.cast("timestamp_ntz") if kind == "timestamp" else round_even(c, DIGITS.get(name, 6)) if kind == "double" else c.cast("string") if kind == "date" else c).alias(name))
     return df.select(*out)
 
 
