@@ -197,7 +197,7 @@ def _outer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _outer(sized: DataFrame, blobs: DataFrame) -> DataFrame:
     """The shingles of texts that their pivot lacks and another text around it has too."""
     texts = sized.select("p", "node").join(blobs, "node").join(blobs.select(F.col("node").alias("p"), F.col("blob").alias("pivot")), "p")
-    rows = texts.select("p", "node", "pivot", "blob").mapInArrow(_outer_rows, "p long not null, node long not null, shingle long not null").checkpoint()
+    rows = texts.select("p", "node", "pivot", "blob").mapInArrow(_outer_rows, "p long not null, node long not null, shingle long not null").repartition("p", "shingle")  # one exchange for counting and joining
     met = rows.groupBy("p", "shingle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(met, ["p", "shingle"]).join(sized.select("p", "node", "component", "far", "size", "reach"), ["p", "node"])
 
@@ -208,16 +208,16 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     base.prepare(spark)
     base.shared_dir(spark)
     signed = _signed(df, doc_id, text).checkpoint()  # narrow, and read twice
-    unique = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")).checkpoint()
-    rows = signed.select("doc_id", "key").join(unique.select("key", "node"), "key").select("doc_id", F.col("node").alias("text_id"))
+    unique = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.count("*").alias("n")).checkpoint()
+    rows = base.join_back(signed.select("doc_id", "key"), unique.select("key", "node", "n"), ["key"], "doc_id").select("doc_id", F.col("node").alias("text_id"))
     # Rows of one id with different words are linked, so an id stands for one node.
-    twice = unique.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    twice = unique.groupBy("node").agg(F.count("*").alias("times")).where("times > 1").select("node")
     own = rows.where("doc_id > text_id").select(F.col("text_id").alias("a"), F.col("doc_id").alias("b"))
     nodes = unique.select("node", "bands")
 
     buckets = nodes.mapInArrow(_bucket_rows, "bucket long not null, node long not null")
-    full = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    members = buckets.join(full, "bucket").checkpoint()  # only texts that share a bucket
+    full = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a < z").drop("z")
+    members = base.join_back(buckets, full, ["bucket"], "node").checkpoint()  # only texts that share a bucket
     stars = members.where("node > a").select("a", F.col("node").alias("b")).distinct()
     wanted = members.select("node").distinct()
     blobs = _blobs(df, doc_id, text).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("blob").alias("blob")).checkpoint()
