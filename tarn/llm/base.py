@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
@@ -85,6 +86,23 @@ def _arrow(kind: str) -> pa.DataType:
     return pa.list_(_arrow(kind[6:-1])) if kind.startswith("array<") else _ARROW[kind]
 
 
+#: Keys that may be hot at most, and parts that the rows of a hot key are dealt into.
+HOT_KEYS, PARTS = 1000, 64
+
+
+def join_back(rows: DataFrame, summary: DataFrame, keys: list[str], spread: str, n: str = "n") -> DataFrame:
+    """rows joined with a summary of them by keys (one row a key, with its count n), with rows of hot keys dealt out by `spread` too.
+
+    A key is hot if it has over a HOT_KEYS-th of the rows counted in the summary. So there are fewer than HOT_KEYS of them, whatever the input, and they may be broadcast.
+    """
+    total = summary.agg(F.sum(n).alias("_total"))  # one row
+    hot = F.broadcast(summary.crossJoin(F.broadcast(total)).where(F.col(n) * HOT_KEYS > F.col("_total")).select(*keys, F.lit(True).alias("_hot")))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
+    dealt = rows.join(hot, keys, "left").withColumn("_part", part).drop("_hot")
+    copies = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
+    return dealt.join(summary.join(hot, keys, "left").withColumn("_part", copies).drop("_hot", n), [*keys, "_part"]).drop("_part")
+
+
 def record(schema: str, **columns) -> pa.RecordBatch:
     """A batch of the columns that a schema ("a long, b array<int>") names, from arrays or lists in that order."""
     fields = [f.split()[:2] for f in schema.split(", ")]

@@ -96,9 +96,9 @@ def write_archive(df: DataFrame, path: str, page_id: str = "page_id", url: str =
     pages = df.select(*[df[c].alias(c) for c in (page_id, url, html)]).mapInArrow(lambda b: _pack(b, page_id, url, html), _PACKED)
     low = F.lit(-(1 << 63))
     known = df.select(F.coalesce(df[page_id], low).alias("id"), F.sha2(F.coalesce(df[html], F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce(df[html], F.lit(""))).alias("size")).where(F.col("size") >= REVISIT)
-    latest = known.groupBy("digest", "size").agg(F.max("id").alias("latest"), F.min("id").alias("least")).where("least < latest").drop("least")
+    latest = known.groupBy("digest", "size").agg(F.max("id").alias("latest"), F.min("id").alias("least"), F.count("*").alias("n")).where("least < latest").drop("least")
     # Revisits by page and digest, so that rows of one page with other payloads are told apart.
-    revisits = known.join(latest, ["digest", "size"]).where("id < latest").select(F.col("id").alias("_id"), F.unhex("digest").alias("_digest"), "latest").distinct()
+    revisits = base.join_back(known, latest, ["digest", "size"], "id").where("id < latest").select(F.col("id").alias("_id"), F.unhex("digest").alias("_digest"), "latest").distinct()
     joined = pages.withColumn("id", F.coalesce("page_id", low)).join(revisits, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     out = joined.select(*[c.split()[0] for c in _PACKED.split(", ")], F.col("latest").alias("refers_to"), F.col("latest").isNotNull().alias("revisits")).mapInArrow(_records, RECORDS)
     out.write.option("compression", "zstd").parquet(path)
