@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
 #: Bytes that are hashed at once, whatever the length of the text.
-HASH_BYTES = 1 << 21
+HASH_BYTES = 1 << 18
 
 MASK = (1 << 64) - 1
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -33,6 +33,16 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+_HOLDERS: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called in a worker by an operator that keeps caches: those of other operators, which ran in the same worker before, go."""
+    for other in [k for k in _HOLDERS if k != name]:
+        _HOLDERS.pop(other)()
+    _HOLDERS[name] = clear
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a session without one gets a folder of its own (tests)."""
     sc = spark.sparkContext

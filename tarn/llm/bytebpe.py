@@ -211,6 +211,7 @@ _LOADED: dict[str, Bpe] = {}
 
 
 def bpe(path: str) -> Bpe:
+    base.claim("bytebpe", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
     return _LOADED[path]

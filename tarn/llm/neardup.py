@@ -35,7 +35,7 @@ from tarn.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
 SIZE = BANDS * ROWS
-PASS = 1 << 22
+PASS = 1 << 21
 LAST = (1 << 63) - 1
 
 _WORD = np.zeros(256, bool)
@@ -108,6 +108,7 @@ def _signed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     schema = "doc_id long not null, key binary not null, bands binary not null"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.claim("neardup", lambda: None)
         for part in base.passes(batches, text, PASS):
             doc, element, weight, k1, k2 = shingles(part.column(text).to_pylist())
             bands = band_hashes(prob_minhash(doc, element, weight, part.num_rows))

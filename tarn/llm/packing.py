@@ -103,6 +103,7 @@ _LOADED: dict[str, Tokens] = {}
 
 
 def tokens(path: str) -> Tokens:
+    base.claim("packing", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = Tokens(path)
     return _LOADED[path]

@@ -35,6 +35,7 @@ HEAD = 16 + 8 + 32  # of a packed text: digest, number of words, SHA-256 of its
 
 
 def _pack(texts: pa.Array) -> list[bytes]:
+    base.claim("passages", lambda: None)
     data, offs = base.text_bytes(texts)
     words = base.Words(data, offs)
     raw, strings, pack, out = data.tobytes(), words.strings(), zstandard.ZstdCompressor(level=1), []

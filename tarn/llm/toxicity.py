@@ -33,7 +33,7 @@ SAMPLE, TERMS = (12_000, 4_000), 400
 LEAST_TEXTS, LEAST_RATIO = 3, 20.0
 MAX_EDITS, LEAST_LETTERS = 1, 5
 THRESHOLD, CONTEXT, QUOTED = 0.7, 6, 0.35
-CACHE = 400_000
+CACHE = 250_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -120,6 +120,7 @@ _LEXICONS: dict[tuple[str, ...], tuple[Lexicon, dict[bytes, tuple[int, int] | No
 
 
 def _known(terms: tuple[str, ...]) -> tuple[Lexicon, dict[bytes, tuple[int, int] | None]]:
+    base.claim("toxicity", _LEXICONS.clear)
     if terms not in _LEXICONS:
         _LEXICONS.clear()
         _LEXICONS[terms] = (Lexicon(list(terms)), {})

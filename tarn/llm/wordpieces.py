@@ -98,6 +98,7 @@ _LOADED: dict[str, tuple[Automaton, dict[bytes, int]]] = {}
 
 
 def count_texts(texts: pa.Array, path: str) -> dict[str, np.ndarray]:
+    base.claim("wordpieces", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = (Automaton(load(path)), {})
     automaton, known = _LOADED[path]
