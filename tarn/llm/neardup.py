@@ -275,7 +275,7 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, that with the smallest id; all columns."""
     classes = near_classes(df, doc_id, text)
-    drop = classes.where("doc_id is null or class_id < doc_id").select(F.coalesce("doc_id", F.lit(LAST)).alias("_drop"), F.coalesce("class_id", F.lit(LAST)).alias("_into")).where("_into < _drop").select("_drop").distinct()
-    left = df.withColumn("_id", F.coalesce(df[doc_id], F.lit(LAST))).join(drop, F.col("_id") == F.col("_drop"), "left_anti")
-    first = F.row_number().over(W.partitionBy("_id").orderBy("_id"))
-    return left.withColumn("_n", first).where("_n = 1").select(*[left[c] for c in df.columns])
+    drop = classes.where("doc_id is null or class_id < doc_id").select(F.coalesce("doc_id", F.lit(LAST)).alias("__tarn_drop"), F.coalesce("class_id", F.lit(LAST)).alias("__tarn_into")).where("__tarn_into < __tarn_drop").select("__tarn_drop").distinct()
+    left = df.withColumn("__tarn_id", F.coalesce(df[doc_id], F.lit(LAST))).join(drop, F.col("__tarn_id") == F.col("__tarn_drop"), "left_anti")
+    first = F.row_number().over(W.partitionBy("__tarn_id").orderBy("__tarn_id"))
+    return left.withColumn("__tarn_n", first).where("__tarn_n = 1").select(*[left[c] for c in df.columns])

@@ -202,15 +202,15 @@ def dedup_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def without_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The table with repeated passages cut out of its texts; rows that lose nothing stay as they are."""
     base.prepare(df.sparkSession)
-    edits = _judged(df, doc_id, text).mapInArrow(_edits, EDIT_SCHEMA).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "kept_text")).alias("_edits"))
-    marked = df.join(edits.withColumnRenamed("doc_id", "_doc"), F.col("_doc") == F.coalesce(df[doc_id], F.lit(LAST)), "left")
+    edits = _judged(df, doc_id, text).mapInArrow(_edits, EDIT_SCHEMA).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "kept_text")).alias("__tarn_edits"))
+    marked = df.join(edits.withColumnRenamed("doc_id", "__tarn_doc"), F.col("__tarn_doc") == F.coalesce(df[doc_id], F.lit(LAST)), "left")
 
     names = df.columns
     schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.passes(batches, text, 4 * base.PASS_BYTES):
-            texts, changes = part.column(text).to_pylist(), part.column("_edits").to_pylist()
+            texts, changes = part.column(text).to_pylist(), part.column("__tarn_edits").to_pylist()
             for k, (old, edits) in enumerate(zip(texts, changes)):
                 if edits:
                     digest = hashlib.blake2b((old or "").encode(), digest_size=16).digest()
@@ -218,4 +218,4 @@ def without_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
             columns = [pa.array(texts, part.column(c).type) if c == text else part.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return marked.select(*[df[c] for c in names], "_edits").mapInArrow(run, schema)
+    return marked.select(*[df[c] for c in names], "__tarn_edits").mapInArrow(run, schema)
