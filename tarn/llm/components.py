@@ -1,8 +1,8 @@
 """Connected components of an edge table, without gathering it anywhere.
 
 Alternating star operations (Kiveris et al., 2014): the large star links a node's larger neighbours to the smallest node around it,
-the small star does so with the smaller neighbours. Each halves long paths, both only group and join by node, and hot nodes are
-reduced by partial aggregation. Each round is cut off by a checkpoint in the shared folder.
+the small star does so with the smaller neighbours. Each halves long paths, both only group and join by node, and a round
+is cut off by a checkpoint in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,25 +14,28 @@ from tarn.llm import base
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b) with a < b. Returns edges of the same kind."""
+    """edges (a, b) with a < b, repeats allowed. Returns edges of the same kind. One exchange serves the minimum and the join."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v") if large else edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    both = both.where("u is not null and v is not null").repartition("u")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     linked = both.join(least, "u")
     if large:  # neighbours above u now hang on m
         out = linked.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:  # neighbours below u, and u itself, hang on m
-        out = linked.select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-    return out.where("a < b").distinct()
+        out = linked.select("m", F.explode(F.array("u", "v")).alias("b")).select(F.col("m").alias("a"), "b")
+    return out.where("a < b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """For edges (a long, b long): (node, component), the component being its smallest node. Nodes without an edge don't appear."""
     base.shared_dir(edges.sparkSession)
+
+    def state(df: DataFrame):
+        return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+
     now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct().checkpoint()
-    while True:
-        after = _stars(_stars(now, True), False).checkpoint()
-        stats = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first() for d in (now, after)]
-        now = after
-        if stats[0] == stats[1]:
-            break
+    before, found = None, state(now)
+    while before != found:
+        now = _stars(_stars(now, True), False).distinct().checkpoint()
+        before, found = found, state(now)
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -223,14 +223,11 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     wanted = members.select("node").distinct()
     blobs = _blobs(df, doc_id, text).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("blob").alias("blob")).checkpoint()
     sims = _verified(stars, blobs)
-    links = sims.where(F.col("similarity") >= THRESHOLD).select("a", "b")
-    found = components(links).checkpoint()
 
-    # Buckets whose texts are still in several components get a second centre: the text that is most similar to the first.
-    near = members.join(sims.withColumnRenamed("b", "node"), ["a", "node"]).join(found, "node", "left").select("bucket", "a", "node", "similarity", F.coalesce("component", "node").alias("component"))
+    # Buckets whose texts are not all linked to the first centre get a second: the text that is most similar to the first.
+    near = members.join(sims.withColumnRenamed("b", "node"), ["a", "node"])
     best = F.struct("similarity", -F.col("node"))
-    second = near.groupBy("bucket", "a").agg(F.max("similarity").alias("most"), F.max_by("node", best).alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("similarity").alias("least"))
-    second = second.where((F.col("low") < F.col("high")) | (F.col("least") < THRESHOLD)).select("bucket", "a", "c").checkpoint()
+    second = near.groupBy("bucket", "a").agg(F.max_by("node", best).alias("c"), F.min("similarity").alias("least")).where(F.col("least") < THRESHOLD).select("bucket", "a", "c").checkpoint()
     open_ = members.select("bucket", "node").join(second, "bucket")
     pairs = open_.where("node <> c and node <> a").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
     extra = _verified(pairs.join(sims.select("a", "b"), ["a", "b"], "left_anti"), blobs)
@@ -267,7 +264,8 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     more = _verified(pairs, blobs).where(F.col("similarity") >= THRESHOLD).select("a", "b")
 
     linked = own.join(twice, F.col("b") == F.col("node"), "left_semi")
-    classes = components(links.union(more).union(linked)).withColumnRenamed("node", "text_id")
+    stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    classes = components(stars.union(more).union(linked)).withColumnRenamed("node", "text_id")
     out = rows.join(classes, "text_id", "left")
     return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), F.nullif("text_id", F.lit(LAST)).alias("text_id"), F.nullif(F.coalesce("component", "text_id"), F.lit(LAST)).alias("class_id"))
 
