@@ -13,8 +13,9 @@ distance, by their sizes and by the shingles that no other text has, and if they
 smaller than the pivot, a bound by their overlaps with it takes the place of the last test. These tests fail for no pair that is similar enough,
 so no group of similar texts is expanded into its pairs and no link is lost.
 
-A null text counts as empty; empty texts are one class. Ties cannot occur (64-bit arrivals, then the larger shingle hash). Rows with one doc_id and
-different texts join the classes of both. A null doc_id is an id of its own, that is above all others. An empty table gives an empty result.
+A null text counts as empty; empty texts are one class. Ties cannot occur (64-bit arrivals, then the larger shingle hash). Classes are of texts, told apart
+by a 128-bit key of their words: rows with one doc_id, or with none, and different texts are in one class only if these are linked. A null doc_id is above
+all others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tarn.llm import base
 from tarn.llm.components import components
@@ -36,7 +37,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
 SIZE = BANDS * ROWS
 PASS = 1 << 21
-LAST = (1 << 63) - 1
+SEEN = 1 << 17
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -46,12 +47,9 @@ def normal_words(texts: list[str | None]) -> base.Words:
     return base.Words(*base.text_bytes(pa.array([(t or "").lower() for t in texts], pa.large_string())), _WORD)
 
 
-def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, hash and weight of the distinct shingles, and two hashes that tell texts with other words apart."""
-    words = normal_words(texts)
-    h, n = words.hashes(), words.counts
-    at = base.within(words.first, SHINGLE)
-    doc, grams = words.docs()[at], base.gram_hashes(h, SHINGLE)[at]
+def word_keys(texts: list[str | None], words: base.Words, h: np.ndarray) -> list[np.ndarray]:
+    """Two hashes that tell texts with other words apart; a text without any word counts by its bytes."""
+    n = words.counts
     with np.errstate(over="ignore"):
         place = (np.arange(len(words)) - words.first[words.docs()]).astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
         keys = []
@@ -63,6 +61,21 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         data, offs = base.text_bytes(pa.array([texts[k] or "" for k in bare], pa.large_string()))
         for key, seed in zip(keys, (5, 6)):
             key[bare] = base.span_hashes(data, offs[:-1], offs[1:], seed)
+    return keys
+
+
+def packed_keys(texts: list[str | None]) -> list[bytes]:
+    words = normal_words(texts)
+    return [x.tobytes() for x in np.stack(word_keys(texts, words, words.hashes()), axis=1)]
+
+
+def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, hash and weight of the distinct shingles, and two hashes that tell texts with other words apart."""
+    words = normal_words(texts)
+    h, n = words.hashes(), words.counts
+    at = base.within(words.first, SHINGLE)
+    doc, grams = words.docs()[at], base.gram_hashes(h, SHINGLE)[at]
+    keys = word_keys(texts, words, h)
     short = np.flatnonzero(n < SHINGLE)
     doc, grams = np.concatenate([doc, short]), np.concatenate([grams, keys[0][short]])
     order = np.lexsort((grams, doc))
@@ -105,7 +118,7 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
 
 def _signed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Ids, keys of the words and packed bands of all rows."""
-    schema = "doc_id long not null, key binary not null, bands binary not null"
+    schema = "doc_id long, key binary not null, bands binary not null"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base.claim("neardup", lambda: None)
@@ -113,7 +126,7 @@ def _signed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             doc, element, weight, k1, k2 = shingles(part.column(text).to_pylist())
             bands = band_hashes(prob_minhash(doc, element, weight, part.num_rows))
             keys = np.stack([k1, k2], axis=1)
-            yield base.record(schema, doc_id=pc.fill_null(part.column(doc_id), LAST), key=[x.tobytes() for x in keys], bands=[x.tobytes() for x in bands])
+            yield base.record(schema, doc_id=part.column(doc_id), key=[x.tobytes() for x in keys], bands=[x.tobytes() for x in bands])
 
     return df.select(df[doc_id].alias(doc_id), df[text].alias(text)).mapInArrow(run, schema)
 
@@ -125,15 +138,54 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.repeat(b.column("node").to_numpy(), BANDS))], names=["bucket", "node"])
 
 
+def _unseen(seen: set[tuple], *columns: list) -> np.ndarray:
+    """Rows whose values a task has not had among its last ones. The set is bounded, so some repeats stay; hot ones shrink to a few rows a task."""
+    new = np.zeros(len(columns[0]), bool)
+    for k, row in enumerate(zip(*columns)):
+        if row not in seen:
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(row)
+            new[k] = True
+    return new
+
+
+def _named(doc_id: Column) -> Column:
+    """An id that joins: null is one too."""
+    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+
+
 def _blobs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Texts, compressed, dealt out by id; the smaller of two texts of one id."""
-    schema = "node long not null, blob binary not null"
+    """Texts, compressed, with the names of their ids and their keys."""
+    schema = "doc_id long, key binary not null, blob binary not null"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, seen = zstandard.ZstdCompressor(level=1), set()
+        for part in base.passes(batches, text):
+            texts, ids = part.column(text).to_pylist(), part.column(doc_id).to_pylist()
+            keys = packed_keys(texts)
+            at = np.flatnonzero(_unseen(seen, ids, keys)).tolist()
+            yield base.record(schema, doc_id=[ids[k] for k in at], key=[keys[k] for k in at], blob=[pack.compress((texts[k] or "").encode()) for k in at])
+
+    rows = df.select(df[doc_id].alias(doc_id), df[text].alias(text)).mapInArrow(run, schema)
+    return rows.select(_named(F.col("doc_id")).alias("name"), "key", "blob")
 
-    def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=1)
-        return base.record(schema, node=pc.fill_null(b.column(doc_id), LAST), blob=[pack.compress((x or "").encode()) for x in b.column(text).to_pylist()])
 
-    return base.map_texts(df, [doc_id, text], text, work, schema)
+def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows with the key of their words, without some repeats of an id with the same text."""
+    schema = StructType([*df.schema, StructField("__tarn_key", BinaryType(), False)])
+    base.prepare(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for part in base.passes(batches, text):
+            texts = part.column(text).to_pylist()
+            keys = packed_keys(texts)
+            new = _unseen(seen, part.column(doc_id).to_pylist(), keys, [hash(t) for t in texts])
+            columns = [*part.columns, pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "__tarn_key"]).filter(pa.array(new))
+
+    return df.mapInArrow(run, schema)
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,25 +255,24 @@ def _outer(sized: DataFrame, blobs: DataFrame) -> DataFrame:
     return rows.join(met, ["p", "shingle"]).join(sized.select("p", "node", "component", "far", "size", "reach"), ["p", "node"])
 
 
-def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text_id (the smallest id of the same words) and class_id (the smallest id of the class)."""
+def _texts(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The ids and keys of all rows, and one row per key: least (its smallest id), class_id and class_key (those of the first text of its class) and n (its rows)."""
     spark = df.sparkSession
     base.prepare(spark)
     base.shared_dir(spark)
     signed = _signed(df, doc_id, text).checkpoint()  # narrow, and read twice
-    unique = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.count("*").alias("n")).checkpoint()
-    rows = base.join_back(signed.select("doc_id", "key"), unique.select("key", "node", "n"), ["key"], "doc_id").select("doc_id", F.col("node").alias("text_id"))
-    # Rows of one id with different words are linked, so an id stands for one node.
-    twice = unique.groupBy("node").agg(F.count("*").alias("times")).where("times > 1").select("node")
-    own = rows.where("doc_id > text_id").select(F.col("text_id").alias("a"), F.col("doc_id").alias("b"))
+    # A text is a node, numbered in the order of its smallest id, then its key. The number is made once, in the checkpoint, from which everything else reads it.
+    order = [F.col("least").asc_nulls_last(), F.col("key").asc()]
+    unique = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"), F.count("*").alias("n"))
+    unique = unique.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()).checkpoint()
     nodes = unique.select("node", "bands")
 
     buckets = nodes.mapInArrow(_bucket_rows, "bucket long not null, node long not null")
     full = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a < z").drop("z")
     members = base.join_back(buckets, full, ["bucket"], "node").checkpoint()  # only texts that share a bucket
     stars = members.where("node > a").select("a", F.col("node").alias("b")).distinct()
-    wanted = members.select("node").distinct()
-    blobs = _blobs(df, doc_id, text).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("blob").alias("blob")).checkpoint()
+    wanted = unique.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", _named(F.col("least")).alias("name"))
+    blobs = _blobs(df, doc_id, text).join(wanted, ["name", "key"]).groupBy("node").agg(F.min("blob").alias("blob")).checkpoint()  # dealt out by id too: copies of a text have others
     sims = _verified(stars, blobs)
 
     # Buckets whose texts are not all linked to the first centre get a second: the text that is most similar to the first.
@@ -263,17 +314,27 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     pairs = wanted[0].union(wanted[1]).distinct().join(sims.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(pairs, blobs).where(F.col("similarity") >= THRESHOLD).select("a", "b")
 
-    linked = own.join(twice, F.col("b") == F.col("node"), "left_semi")
     stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    classes = components(stars.union(more).union(linked)).withColumnRenamed("node", "text_id")
-    out = rows.join(classes, "text_id", "left")
-    return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), F.nullif("text_id", F.lit(LAST)).alias("text_id"), F.nullif(F.coalesce("component", "text_id"), F.lit(LAST)).alias("class_id"))
+    classes = components(stars.union(more))
+    texts = unique.drop("bands").join(classes, "node", "left").select("key", "least", "n", F.coalesce("component", "node").alias("component"))
+    heads = unique.select(F.col("node").alias("component"), F.col("least").alias("class_id"), F.col("key").alias("class_key"))
+    return signed.select("doc_id", "key"), texts.join(heads, "component").select("key", "least", "class_id", "class_key", "n").checkpoint()
+
+
+def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, text_id (the smallest id of the same words) and class_id (the smallest id of the class).
+
+    As ids may be null or repeated, text_key and class_key (the key of the text that gives the class its id) tell texts and classes apart.
+    """
+    rows, texts = _texts(df, doc_id, text)
+    out = base.join_back(rows, texts, ["key"], "doc_id")
+    return out.select("doc_id", F.col("least").alias("text_id"), "class_id", F.hex("key").alias("text_key"), F.hex("class_key").alias("class_key"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, that with the smallest id; all columns."""
-    classes = near_classes(df, doc_id, text)
-    drop = classes.where("doc_id is null or class_id < doc_id").select(F.coalesce("doc_id", F.lit(LAST)).alias("__tarn_drop"), F.coalesce("class_id", F.lit(LAST)).alias("__tarn_into")).where("__tarn_into < __tarn_drop").select("__tarn_drop").distinct()
-    left = df.withColumn("__tarn_id", F.coalesce(df[doc_id], F.lit(LAST))).join(drop, F.col("__tarn_id") == F.col("__tarn_drop"), "left_anti")
-    first = F.row_number().over(W.partitionBy("__tarn_id").orderBy("__tarn_id"))
+    """One document of each class, that with the smallest id, then the smallest key; of rows with both, the smallest text. All columns."""
+    _, texts = _texts(df, doc_id, text)
+    heads = texts.where("key = class_key").select(_named(F.col("least")).alias("__tarn_id"), F.col("key").alias("__tarn_key"))
+    left = _keyed(df, doc_id, text).withColumn("__tarn_id", _named(F.col(doc_id))).join(heads, ["__tarn_id", "__tarn_key"], "left_semi")
+    first = F.row_number().over(W.partitionBy("__tarn_id", "__tarn_key").orderBy(text))
     return left.withColumn("__tarn_n", first).where("__tarn_n = 1").select(*[left[c] for c in df.columns])

@@ -364,6 +364,20 @@ def test_near_classes_equal_brute_force(spark):
     assert kept == set(got.values())
 
 
+def test_null_and_repeated_ids_keep_unrelated_texts(spark):
+    """Unrelated texts without ids, or under one id, are classes of their own; a copy or near copy of any of them is found."""
+    a, b, c, d, e = [t for t in prose(31, 40) if len(t.split()) > 40][:5]
+    near = " ".join([*d.split(), "more"])
+    rows = [(None, a), (None, b), (None, c), (None, c.upper()), (1, b), (5, d), (5, e), (5, e), (7, near), (8, e + " more")]
+    classes = {}
+    for r in neardup.near_classes(frame(spark, rows).repartition(3)).collect():
+        classes.setdefault((r.class_id, r.class_key), []).append((r.doc_id, r.text_id))
+    got = sorted(sorted(str(x) for x in v) for v in classes.values())
+    assert got == sorted(sorted(str(x) for x in v) for v in ([(None, None)], [(None, None)] * 2, [(None, 1), (1, 1)], [(5, 5), (7, 7)], [(5, 5), (5, 5), (8, 8)]))
+    kept = [(r.doc_id, r.text) for r in neardup.keep_one(frame(spark, rows).repartition(3)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, min(c, c.upper())), (1, b), (5, d), (5, e)], key=str)
+
+
 def test_probability_jaccard():
     """Registers agree as often as the weights say."""
     rnd = np.random.default_rng(1)
