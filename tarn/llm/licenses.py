@@ -2,7 +2,8 @@
 
 Rules are regular expressions, each with keywords, a label, a priority and a confidence. A text is searched for all keywords first; only rules
 whose keywords it has are tried. Of overlapping detections, one that lies inside another of a higher priority, or inside a longer one of
-the same, is suppressed. Base phrases are found by their words, exactly, and are never suppressed.
+the same, is suppressed. A space in a rule or keyword stands for any run of white space with at most one line break and the comment signs after it; blank
+lines part statements. Base phrases are found by their words, exactly, and are never suppressed.
 
 A null or empty text has no words and no labels; its labels are empty strings and its score 0. Equal texts get equal results.
 """
@@ -10,6 +11,7 @@ A null or empty text has no words and no labels; its labels are empty strings an
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,6 +112,28 @@ def rules() -> list[Rule]:
 
 
 _RULES: list[Rule] = []
+#: A line break with the comment signs after it.
+_BREAK = r"[^\S\n]*\n[^\S\n]*(?:(?:/\*+|//+|[*#;%>!|]+|--+|<!--+|dnl\b|rem\b)[^\S\n]*)*"
+_GAP = re.compile(_BREAK + r"|[^\S\n]{2,}|[^\S\n ]")
+
+
+def flatten(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with one space for each gap, and from which place of it on how many characters are missing."""
+    parts, starts, missing, at, lost = [], [], [], 0, 0
+    for m in _GAP.finditer(text):
+        a, b = m.span()
+        parts.append(text[at:a])
+        lost += b - a - 1
+        starts.append(b - lost)
+        missing.append(lost)
+        at = b
+    return (" ".join([*parts, text[at:]]), starts, missing) if starts else (text, starts, missing)
+
+
+def gate() -> re.Pattern:
+    """What a text has to contain for any rule: the first keyword of each."""
+    words = sorted({k.strip() for r in rules() for k in r.keywords[0].split("|")})
+    return re.compile("|".join(rf"(?:{_BREAK}|[^\S\n]+)".join(map(re.escape, w.split(" "))) for w in words))
 
 
 def detect(text: str) -> list[tuple[int, int, str, int, float]]:
@@ -123,8 +147,14 @@ def detect(text: str) -> list[tuple[int, int, str, int, float]]:
             has[keyword] = any(k in text for k in keyword.split("|"))
         return has[keyword]
 
-    found = [(*m.span(), r.label, r.priority, r.confidence) for r in _RULES if all(map(there, r.keywords)) for m in r.pattern.finditer(text)]
-    return suppress(found)
+    text, starts, missing = flatten(text)
+
+    def place(k: int) -> int:
+        i = bisect_right(starts, k)
+        return k + missing[i - 1] if i else k
+
+    found = [(m.start(), m.end(), r.label, r.priority, r.confidence) for r in _RULES if all(map(there, r.keywords)) for m in r.pattern.finditer(text)]
+    return [(place(a), place(b - 1) + 1, *rest) for a, b, *rest in suppress(found)]
 
 
 def suppress(found: list[tuple[int, int, str, int, float]]) -> list[tuple[int, int, str, int, float]]:
@@ -132,8 +162,6 @@ def suppress(found: list[tuple[int, int, str, int, float]]) -> list[tuple[int, i
 
     In order of priority, then length, the kept ones are held as intervals sorted by their starts, with no interval inside another, so both ends ascend.
     """
-    from bisect import bisect_right
-
     starts: list[int] = []
     ends: list[int] = []
     kept = []
@@ -154,7 +182,7 @@ _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_GATE = re.compile(rb"licen[cs]|spdx|copyright|\(c\)|\xc2\xa9|reserved| under |subject to|public domain|permission|redistribution|apache\.org|proprietary|unauthori")
+_GATE = gate()
 
 
 def _base_places(words: base.Words) -> tuple[list[np.ndarray], list[str]]:
@@ -192,8 +220,8 @@ def scan_texts(texts: pa.Array) -> dict[str, list]:
             labels[d].add(name)
     out = {"n_words": words.counts.tolist(), "n_base": n_base, "first_word": first, "last_word": last, "base_labels": [",".join(sorted(x)) for x in labels], "labels": [], "score": [], "detections": []}
     for d in range(n):
-        text = raw[offs[d] : offs[d + 1]]
-        found = detect(text.decode()) if _GATE.search(text) else []
+        text = raw[offs[d] : offs[d + 1]].decode()
+        found = detect(text) if _GATE.search(text) else []
         doubt = 1.0
         for *_, confidence in found:
             doubt *= 1 - confidence

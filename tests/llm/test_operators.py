@@ -198,6 +198,28 @@ def test_rules(text, labels):
     assert {d[2] for d in licenses.detect(text)} == labels
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "stated"),
+    [
+        ("(under the terms of gpl v2)", "gpl-2.0", "under the terms of gpl v2"), ("Free to copy\nunder the terms of the GPL v2.", "gpl-2.0", "under the terms of the GPL v2"),
+        ("é\t Licensed under\nthe MIT\nlicense now", "mit", "Licensed under\nthe MIT\nlicense"), (" * released  under\r\n * the terms of\r\n * the mit license\n */", "mit", "released  under\r\n * the terms of\r\n * the mit license"),
+        ("# Permission is\n# hereby granted, free of charge, to any person\n# obtaining a copy", "mit", "Permission is\n# hereby granted, free of charge, to any person\n# obtaining a copy"),
+        ("under\n// the terms of\n// mpl 2.0", "mpl-2.0", "under\n// the terms of\n// mpl 2.0"), ("licensed under\n\nmit", "", None),
+    ],
+)
+def test_wrapped_statements(text, labels, stated):
+    got = licenses.scan_texts(pa.array([text]))
+    assert got["labels"] == [labels]
+    assert [text[slice(*map(int, x.split(":")[0].split("-")))] for x in got["detections"][0].split(";") if x] == [stated] * bool(stated)
+
+
+def test_gate_lets_all_rules_through():
+    plain = [*(f"({form}" for form in ("spdx-license-identifier: mit", "licensed under mit", "leased under mit", "provided under mit", "under the terms of mit", "subject to mit license", "license: mit", "mit license")), "in the public domain"]
+    for text in plain:
+        for gap in (" ", "\n", "\n * ", "\t"):
+            assert licenses.scan_texts(pa.array([text.replace(" ", gap)]))["labels"] == ["public-domain" if "domain" in text else "mit"], (text, gap)
+
+
 def test_suppression_equals_all_pairs():
     rnd = random.Random(6)
     for _ in range(300):
