@@ -34,36 +34,67 @@ FAMILIES = {
     "isc": (r"isc", "isc", "isc"),
     "zlib": (r"zlib(?:/libpng)?", "zlib", "zlib"),
     "boost-1.0": (r"boost software", "boost", "bsl-1.0"),
-    "gpl-2.0": (r"(?:gnu )?(?:gpl|general public licen[cs]e),? ?(?:version |v)?2(?:\.0)?", "g", "gpl-2.0"),
-    "gpl-3.0": (r"(?:gnu )?(?:gpl|general public licen[cs]e),? ?(?:version |v)?3(?:\.0)?", "g", "gpl-3.0"),
-    "lgpl-2.1": (r"(?:gnu )?(?:lgpl|lesser general public licen[cs]e),? ?(?:version |v)?2\.1", "l", "lgpl-2.1"),
-    "lgpl-3.0": (r"(?:gnu )?(?:lgpl|lesser general public licen[cs]e),? ?(?:version |v)?3(?:\.0)?", "l", "lgpl-3.0"),
-    "agpl-3.0": (r"(?:gnu )?(?:agpl|affero general public licen[cs]e),? ?(?:version |v)?3(?:\.0)?", "a", "agpl-3.0"),
-    "mpl-1.1": (r"(?:mpl|mozilla public licen[cs]e),? ?(?:version |v)?1\.1", "m", "mpl-1.1"),
-    "mpl-2.0": (r"(?:mpl|mozilla public licen[cs]e),? ?(?:version |v)?2(?:\.0)?", "m", "mpl-2.0"),
-    "epl-1.0": (r"(?:epl|eclipse public licen[cs]e),? ?(?:version |v)?1(?:\.0)?", "e", "epl-1.0"),
-    "epl-2.0": (r"(?:epl|eclipse public licen[cs]e),? ?(?:version |v)?2(?:\.0)?", "e", "epl-2.0"),
-    "eupl-1.2": (r"(?:eupl|european union public licen[cs]e),? ?(?:version |v)?1\.2", "e", "eupl-1.2"),
-    "cddl-1.0": (r"(?:cddl|common development and distribution licen[cs]e),? ?(?:version |v)?1(?:\.0)?", "c", "cddl-1.0"),
+    "gpl-2.0": (r"(?:gnu )?(?:gpl|general public licen[cs]e),? ?(?:version |v)?2(?:\.0)?", "gpl|general public licen", "gpl-2.0"),
+    "gpl-3.0": (r"(?:gnu )?(?:gpl|general public licen[cs]e),? ?(?:version |v)?3(?:\.0)?", "gpl|general public licen", "gpl-3.0"),
+    "lgpl-2.1": (r"(?:gnu )?(?:lgpl|lesser general public licen[cs]e),? ?(?:version |v)?2\.1", "lgpl|lesser general public licen", "lgpl-2.1"),
+    "lgpl-3.0": (r"(?:gnu )?(?:lgpl|lesser general public licen[cs]e),? ?(?:version |v)?3(?:\.0)?", "lgpl|lesser general public licen", "lgpl-3.0"),
+    "agpl-3.0": (r"(?:gnu )?(?:agpl|affero general public licen[cs]e),? ?(?:version |v)?3(?:\.0)?", "agpl|affero general public licen", "agpl-3.0"),
+    "mpl-1.1": (r"(?:mpl|mozilla public licen[cs]e),? ?(?:version |v)?1\.1", "mpl|mozilla public licen", "mpl-1.1"),
+    "mpl-2.0": (r"(?:mpl|mozilla public licen[cs]e),? ?(?:version |v)?2(?:\.0)?", "mpl|mozilla public licen", "mpl-2.0"),
+    "epl-1.0": (r"(?:epl|eclipse public licen[cs]e),? ?(?:version |v)?1(?:\.0)?", "epl|eclipse public licen", "epl-1.0"),
+    "epl-2.0": (r"(?:epl|eclipse public licen[cs]e),? ?(?:version |v)?2(?:\.0)?", "epl|eclipse public licen", "epl-2.0"),
+    "eupl-1.2": (r"(?:eupl|european union public licen[cs]e),? ?(?:version |v)?1\.2", "eupl|european union public licen", "eupl-1.2"),
+    "cddl-1.0": (r"(?:cddl|common development and distribution licen[cs]e),? ?(?:version |v)?1(?:\.0)?", "cddl|common development and distribution", "cddl-1.0"),
     "artistic-2.0": (r"(?:perl )?artistic licen[cs]e,? ?(?:version |v)?2(?:\.0)?", "artistic", "artistic-2.0"),
     "unlicense": (r"(?:the )?unlicen[cs]e", "unlicen", "unlicense"),
-    "wtfpl": (r"(?:wtfpl|do what the fuck you want to public)", "w", "wtfpl"),
-    "ofl-1.1": (r"(?:sil )?open font", "font", "ofl-1.1"),
-    "psf-2.0": (r"(?:psf|python software foundation)", "p", "psf-2.0"),
+    "wtfpl": (r"(?:wtfpl|do what the fuck you want to public)", "wtfpl|do what the fuck", "wtfpl"),
+    "ofl-1.1": (r"(?:sil )?open font", "open font", "ofl-1.1"),
+    "psf-2.0": (r"(?:psf|python software foundation)", "psf|python software", "psf-2.0"),
     "postgresql": (r"postgresql", "postgresql", "postgresql"),
-    "ms-pl": (r"(?:ms-pl|microsoft public)", "m", "ms-pl"),
+    "ms-pl": (r"(?:ms-pl|microsoft public)", "ms-pl|microsoft public", "ms-pl"),
     "openssl": (r"openssl", "openssl", "openssl"),
-    "gfdl-1.3": (r"(?:gnu )?(?:gfdl|free documentation licen[cs]e),? ?(?:version |v)?1\.3", "d", "gfdl-1.3"),
-    "odbl-1.0": (r"(?:odbl|open database)", "o", "odbl-1.0"),
-    "cc0-1.0": (r"(?:cc0|cc[ -]zero|creative commons zero)(?: 1\.0)?", "c", "cc0-1.0"),
-    "cc-by-4.0": (r"(?:cc[ -]by|creative commons attribution)[ -](?:v|version )?4\.0", "c", "cc-by-4.0"),
-    "cc-by-3.0": (r"(?:cc[ -]by|creative commons attribution)[ -](?:v|version )?3\.0", "c", "cc-by-3.0"),
-    "cc-by-sa-4.0": (r"(?:cc[ -]by-sa|creative commons attribution-sharealike)[ -]4\.0", "c", "cc-by-sa-4.0"),
-    "cc-by-sa-3.0": (r"(?:cc[ -]by-sa|creative commons attribution-sharealike)[ -]3\.0", "c", "cc-by-sa-3.0"),
-    "cc-by-nc-4.0": (r"(?:cc[ -]by-nc|creative commons attribution-noncommercial)[ -]4\.0", "c", "cc-by-nc-4.0"),
-    "cc-by-nc-sa-4.0": (r"(?:cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike)[ -]4\.0", "c", "cc-by-nc-sa-4.0"),
-    "cc-by-nd-4.0": (r"(?:cc[ -]by-nd|creative commons attribution-noderivatives)[ -]4\.0", "c", "cc-by-nd-4.0"),
-    "cc-by-nc-nd-4.0": (r"(?:cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderivatives)[ -]4\.0", "c", "cc-by-nc-nd-4.0"),
+    "gfdl-1.3": (r"(?:gnu )?(?:gfdl|free documentation licen[cs]e),? ?(?:version |v)?1\.3", "gfdl|free documentation", "gfdl-1.3"),
+    "odbl-1.0": (r"(?:odbl|open database)", "odbl|open database", "odbl-1.0"),
+    "cc0-1.0": (r"(?:cc0|cc[ -]zero|creative commons zero)(?: 1\.0)?", "cc0|cc zero|cc-zero|creative commons zero", "cc0-1.0"),
+    "cc-by-4.0": (r"(?:cc[ -]by|creative commons attribution)[ -](?:v|version )?4\.0", "cc by|cc-by|creative commons attribution", "cc-by-4.0"),
+    "cc-by-3.0": (r"(?:cc[ -]by|creative commons attribution)[ -](?:v|version )?3\.0", "cc by|cc-by|creative commons attribution", "cc-by-3.0"),
+    "cc-by-sa-4.0": (r"(?:cc[ -]by-sa|creative commons attribution-sharealike)[ -]4\.0", "cc by|cc-by|creative commons attribution", "cc-by-sa-4.0"),
+    "cc-by-sa-3.0": (r"(?:cc[ -]by-sa|creative commons attribution-sharealike)[ -]3\.0", "cc by|cc-by|creative commons attribution", "cc-by-sa-3.0"),
+    "cc-by-nc-4.0": (r"(?:cc[ -]by-nc|creative commons attribution-noncommercial)[ -]4\.0", "cc by|cc-by|creative commons attribution", "cc-by-nc-4.0"),
+    "cc-by-nc-sa-4.0": (r"(?:cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike)[ -]4\.0", "cc by|cc-by|creative commons attribution", "cc-by-nc-sa-4.0"),
+    "cc-by-nd-4.0": (r"(?:cc[ -]by-nd|creative commons attribution-noderivatives)[ -]4\.0", "cc by|cc-by|creative commons attribution", "cc-by-nd-4.0"),
+    "cc-by-nc-nd-4.0": (r"(?:cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderivatives)[ -]4\.0", "cc by|cc-by|creative commons attribution", "cc-by-nc-nd-4.0"),
+    "gpl-1.0": (r"(?:gnu )?(?:gpl|general public licen[cs]e),? ?(?:version |v)?1(?:\.0)?", "gpl|general public licen", "gpl-1.0"),
+    "lgpl-2.0": (r"(?:gnu )?(?:lgpl|library general public licen[cs]e),? ?(?:version |v)?2(?:\.0)?(?!\.?\d)", "lgpl|library general public licen", "lgpl-2.0"),
+    "gfdl-1.2": (r"(?:gnu )?(?:gfdl|free documentation licen[cs]e),? ?(?:version |v)?1\.2", "gfdl|free documentation", "gfdl-1.2"),
+    "eupl-1.1": (r"(?:eupl|european union public licen[cs]e),? ?(?:version |v)?1\.1", "eupl|european union public licen", "eupl-1.1"),
+    "afl-3.0": (r"(?:afl|academic free licen[cs]e),? ?(?:version |v)?3(?:\.0)?", "afl|academic free", "afl-3.0"),
+    "osl-3.0": (r"(?:osl|open software licen[cs]e),? ?(?:version |v)?3(?:\.0)?", "osl|open software", "osl-3.0"),
+    "sspl-1.0": (r"(?:sspl|server side public)", "sspl|server side public", "sspl-1.0"),
+    "busl-1.1": (r"(?:busl|business source)", "busl|business source", "busl-1.1"),
+    "upl-1.0": (r"(?:upl|universal permissive)(?!\w)", "upl|universal permissive", "upl-1.0"),
+    "0bsd": (r"(?:0bsd|zero[ -]clause bsd|bsd[ -]zero[ -]clause)", "bsd", "0bsd"),
+    "mit-0": (r"(?:mit-0|mit no attribution)", "mit", "mit-0"),
+    "ncsa": (r"(?:ncsa|university of illinois/ncsa open source)(?!\w)", "ncsa", "ncsa"),
+    "vim": (r"vim(?!\w)", "vim", "vim"),
+    "ruby": (r"ruby(?!\w)", "ruby", "ruby"),
+    "php-3.01": (r"php(?: licen[cs]e,?)? ?(?:version |v)?3\.01", "php", "php-3.01"),
+}
+#: Names without a version or clause count; those with one are longer and win. They have no SPDX identifier.
+UNVERSIONED = {
+    "gpl": (r"(?:gnu )?(?:gpl|general public licen[cs]e)(?!\w)", "gpl|general public licen"),
+    "lgpl": (r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[cs]e)(?!\w)", "lgpl|lesser general public licen|library general public licen"),
+    "agpl": (r"(?:gnu )?(?:agpl|affero general public licen[cs]e)(?!\w)", "agpl|affero general public licen"),
+    "gfdl": (r"(?:gnu )?(?:gfdl|free documentation)(?!\w)", "gfdl|free documentation"),
+    "apache": (r"apache(?: software)?(?!\w)", "apache"),
+    "bsd": (r"bsd(?:-style)?(?!\w)", "bsd"),
+    "mpl": (r"(?:mpl|mozilla public)(?!\w)", "mpl|mozilla public"),
+    "epl": (r"(?:epl|eclipse public)(?!\w)", "epl|eclipse public"),
+    "artistic": (r"(?:perl )?artistic(?!\w)", "artistic"),
+    "cc-by": (r"(?:cc[ -]by|creative commons attribution)(?!\w)", "cc by|cc-by|creative commons attribution"),
+    "cc-by-sa": (r"(?:cc[ -]by-sa|creative commons attribution-sharealike)(?!\w)", "cc by-sa|cc-by-sa|creative commons attribution-sharealike"),
+    "cc-by-nc": (r"(?:cc[ -]by-nc|creative commons attribution-noncommercial)(?!\w)", "cc by-nc|cc-by-nc|creative commons attribution-noncommercial"),
+    "cc-by-nd": (r"(?:cc[ -]by-nd|creative commons attribution-noderivatives)(?!\w)", "cc by-nd|cc-by-nd|creative commons attribution-noderivatives"),
 }
 #: How a license is stated: (pattern around the name, keyword, priority, confidence). The order is that of the rules.
 STATEMENTS = (
@@ -83,6 +114,8 @@ PHRASES = (
     ("bsd", r"redistributions? (?:and use )?in source and binary forms?", "redistribution", 95, 0.95),
     ("apache-2.0", r"www\.apache\.org/licenses/license-2\.0", "apache.org", 95, 0.98),
     ("gpl", r"(?:gnu )?general public licen[cs]e", "public licen", 30, 0.6),
+    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", "public licen", 30, 0.6),
+    ("agpl", r"(?:gnu )?affero general public licen[cs]e", "public licen", 30, 0.6),
     ("public-domain", r"(?:dedicated to|released into|in) the public domain", "public domain", 60, 0.7),
     ("proprietary", r"(?:proprietary and confidential|unauthori[sz]ed (?:copying|use|reproduction))", "unauthori|proprietary", 60, 0.8),
     ("copyright", r"(?:copyright|\(c\)|©) ?(?:\(c\)|©)? ?(?:19|20)\d\d", "copyright|(c)|©", 20, 0.4),
@@ -100,12 +133,15 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules: every family in every statement, then the phrases."""
+    """All rules: every family in every statement, names without a version in all but the SPDX one, then the phrases."""
     out = []
     for label, (name, keyword, spdx) in FAMILIES.items():
         for form, word, priority, confidence in STATEMENTS:
             pattern = form.replace("{name}", name).replace("{spdx}", re.escape(spdx))
-            out.append(Rule(label, (word, keyword), re.compile(r"(?<![\w])" + pattern), priority, confidence))
+            out.append(Rule(label, (word, f"{keyword}|{spdx}"), re.compile(r"(?<![\w])" + pattern), priority, confidence))
+    for label, (name, keyword) in UNVERSIONED.items():
+        for form, word, priority, confidence in STATEMENTS[1:]:
+            out.append(Rule(label, (word, keyword), re.compile(r"(?<![\w])" + form.replace("{name}", name)), priority, confidence))
     for label, pattern, word, priority, confidence in PHRASES:
         out.append(Rule(label, (word,), re.compile(r"(?<![\w])" + pattern), priority, confidence))
     return out

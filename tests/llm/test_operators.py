@@ -213,6 +213,22 @@ def test_wrapped_statements(text, labels, stated):
     assert [text[slice(*map(int, x.split(":")[0].split("-")))] for x in got["detections"][0].split(";") if x] == [stated] * bool(stated)
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("released under the gpl", "gpl"), ("the bsd license", "bsd"), ("licensed under lgpl.", "lgpl"), ("licensed under cc by-sa", "cc-by-sa"), ("gnu lesser general public license", "lgpl"), ("licensed under the sspl", "sspl-1.0"),
+        ("licensed under gplv2", "gpl-2.0"), ("the 3-clause bsd license", "bsd-3-clause"), ("licensed under lgpl 2.1", "lgpl-2.1"), ("under the terms of the mozilla public license, version 2.0", "mpl-2.0"),
+    ],
+)
+def test_names_without_version(text, label):
+    assert {d[2] for d in licenses.detect(text)} == {label}
+
+
+def test_every_identifier_is_found():
+    for label, (_, _, spdx) in licenses.FAMILIES.items():
+        assert {d[2] for d in licenses.detect(f"spdx-license-identifier: {spdx}")} == {label}
+
+
 def test_gate_lets_all_rules_through():
     plain = [*(f"({form}" for form in ("spdx-license-identifier: mit", "licensed under mit", "leased under mit", "provided under mit", "under the terms of mit", "subject to mit license", "license: mit", "mit license")), "in the public domain"]
     for text in plain:
