@@ -159,12 +159,13 @@ class Packer:
         self.items = [x for x, a in zip(self.items, alive) if a]
 
     def rest(self) -> Iterator[list[tuple[int, int, int]]]:
-        """Everything that waits, the last of it in bins of 2**k tokens."""
+        """Everything that waits, the last of it in bins of 2**k tokens, that can't have more loss-bearing tokens than allowed."""
         yield from self.bins(self.length)
+        most = max(1, int(min(self.length, self.caps[2] + 1)))
         todo, self.items, self.waiting = self.items[::-1], [], 0
         while todo:
             total = sum(n for *_, n in todo)
-            room, chosen = 1 << min(total, self.length).bit_length() - 1, []
+            room, chosen = 1 << min(total, most).bit_length() - 1, []
             while room and len(chosen) < self.caps[1]:
                 key, start, n = todo.pop()
                 part = min(n, room)

@@ -156,6 +156,15 @@ def test_packing(spark, segments, loss):
         assert padding < 0.01 * out.length.sum()
 
 
+def test_last_sequences_keep_the_limits():
+    for loss in (0, 5, 1000, 4096):
+        packer = packing.Packer(4096, 512, loss)
+        bins = [b for k in range(3) for b in packer.add(k, 0, 4000)]
+        bins += packer.rest()
+        assert sum(n for b in bins for *_, n in b) == 12_000
+        assert all(sum(n - 1 for *_, n in b) <= loss and sum(n for *_, n in b) <= 4096 and len(b) <= 512 for b in bins)
+
+
 # 2: substring dedup
 
 
