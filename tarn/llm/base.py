@@ -6,6 +6,8 @@ A batch of texts is handled as one UTF-8 byte array with document offsets, so th
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,15 +46,49 @@ def claim(name: str, clear: Callable[[], None]) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a session without one gets a folder of its own (tests)."""
+    """The folder that driver and executors share. A local session without one (tests) gets a folder of its own; a cluster without one is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        if not place:
+            import tempfile
+
+            place = tempfile.mkdtemp(prefix="tarn-checkpoint-")
+        sc.setCheckpointDir(place)
     return sc.getCheckpointDir()
 
 
+class Scratch:
+    """Tables of one run in the shared folder. A written table cuts lineage, survives lost executors, and is read with its size known, in as many parts as that
+    needs. What is dropped goes at once, the rest when the application ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.kept = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        self._with(self.root, "deleteOnExit")
+
+    def _with(self, place: str, action: str, *more) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        getattr(path.getFileSystem(self.spark._jsc.hadoopConfiguration()), action)(path, *more)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of df, written and read again."""
+        schema, place = df.schema, f"{self.root}/{len(self.kept)}-{name}"
+        df.write.option("compression", "zstd").parquet(place)
+        self.kept[place] = out = self.spark.read.schema(schema).parquet(place)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for place, kept in self.kept.items():
+            if any(kept is t for t in tables):
+                self._with(place, "delete", True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*[kept for kept in self.kept.values() if not any(kept is t for t in tables)])
+
+
 def passes(batches: Iterator[pa.RecordBatch], text: str, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most `limit` bytes of text, or one row."""
     for batch in batches:

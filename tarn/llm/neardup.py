@@ -1,21 +1,21 @@
 """Near-duplicate classes by ProbMinHash.
 
-Every five-word shingle of a text is a Poisson process whose rate is its weight, 1 + ln(count). An arrival falls into one of SIZE registers,
+Every five-word shingle of a text is a Poisson process whose rate is its weight, 1 + ln(count) / 8. An arrival falls into one of SIZE registers,
 which keeps its earliest one; a shingle stops once its next arrival is later than all registers. Two texts agree in a register with the
 probability Jaccard similarity of their weights. Bands of ROWS registers give candidate pairs, and these are verified on the texts: a link
 needs a Jaccard similarity of the shingle sets of THRESHOLD or more. Classes are the connected components of the links.
 
 Words are runs of letters, digits and bytes above 127 after lower-casing; under five words the whole text is one shingle, without any word the
-text itself. Texts with the same words are one text here, so copies are never paired. Within a band's bucket each text is first compared
-with the smallest one and, where that does not link them all, with the text that is most similar to it. The better of these two is a pivot. Then only texts
-around a pivot that are still in different components are compared, and only if a link is possible by the triangle inequality of the Jaccard
-distance, by their sizes and by the shingles that no other text has, and if they have a shingle in common that the pivot lacks; where one is
-smaller than the pivot, a bound by their overlaps with it takes the place of the last test. These tests fail for no pair that is similar enough,
-so no group of similar texts is expanded into its pairs and no link is lost.
+text itself. Texts with the same words are one text here, so copies are never paired. Within a band's bucket each text is compared
+with the smallest one. Where that does not link them all, each is compared with the text that is most similar to the smallest too: the bucket's pivot. Then only texts
+around a pivot that are still in different components are compared, and only if a link is possible by the triangle inequality of the Jaccard distance, by their
+sizes, and by how many of their shingles the pivot or a text of another component has, and if they have a shingle in common that the pivot lacks; where
+nearly all of both lies in the pivot, a bound by their overlaps with it takes the place of the last test. These tests fail for no pair that is similar enough,
+so no group of similar texts is expanded into its pairs and no link is lost. Components are paired before their texts are, so texts of one component never meet.
 
 A null text counts as empty; empty texts are one class. Ties cannot occur (64-bit arrivals, then the larger shingle hash). Classes are of texts, told apart
 by a 128-bit key of their words: rows with one doc_id, or with none, and different texts are in one class only if these are linked. A null doc_id is above
-all others. An empty table gives an empty result.
+all others. Very long texts are shingled whole. Other columns are not read, or kept as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from tarn.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
 SIZE = BANDS * ROWS
+#: How much repeats of a shingle add to its weight: little, so that texts whose sets are similar stay similar in their registers.
+REPEATS = 1 / 8
 PASS = 1 << 21
 SEEN = 1 << 17
 
@@ -84,7 +86,7 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     new[1:] = (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])
     edges = np.flatnonzero(new)
     counts = np.diff(np.append(edges, len(doc)))
-    return doc[edges], grams[edges], 1 + np.log(counts), keys[0], keys[1]
+    return doc[edges], grams[edges], 1 + REPEATS * np.log(counts), keys[0], keys[1]
 
 
 def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, size: int = SIZE) -> np.ndarray:
@@ -188,137 +190,158 @@ def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Similarities of pairs of texts; the shingles of a text are kept while it comes again and again."""
-    known: dict[int, np.ndarray] = {}
+_SIMS = "a long, b long, common long, size_a long, size_b long, similarity double"
+
+
+def _sets(blobs: list[bytes]) -> list[np.ndarray]:
+    """The shingles of packed texts, sorted."""
     unpack = zstandard.ZstdDecompressor()
-    for part in base.passes(batches, "blob_b"):
+    doc, element, *_ = shingles([unpack.decompress(x).decode() for x in blobs])
+    edges = np.searchsorted(doc, np.arange(len(blobs) + 1))
+    return [element[i:j] for i, j in zip(edges, edges[1:])]
+
+
+def _paired(batches: Iterator[pa.RecordBatch], left: str, right: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    """Batches of pairs with the shingles of both sides; those of a text are kept while it comes again and again."""
+    known: dict[int, np.ndarray] = {}
+    for part in base.passes(batches, f"blob_{right}"):
         nodes: dict[int, bytes] = {}
-        for side in "ab":
+        for side in (left, right):
             nodes |= dict(zip(part.column(side).to_pylist(), part.column(f"blob_{side}").to_pylist()))
         known = {k: v for k, v in known.items() if k in nodes}
         new = [k for k in nodes if k not in known]
-        if new:
-            doc, element, *_ = shingles([unpack.decompress(nodes[k]).decode() for k in new])
-            edges = np.searchsorted(doc, np.arange(len(new) + 1))
-            known |= {k: element[i:j] for k, i, j in zip(new, edges, edges[1:])}
-        a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-        common = [len(np.intersect1d(known[x], known[y], assume_unique=True)) for x, y in zip(a, b)]
-        yield base.record("a long, b long, similarity double", a=a, b=b, s=[c / (len(known[x]) + len(known[y]) - c) for x, y, c in zip(a, b, common)])
+        known |= zip(new, _sets([nodes[k] for k in new])) if new else ()
+        yield part, *([known[k] for k in part.column(side).to_pylist()] for side in (left, right))
 
 
-def _verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their similarity. Texts are dealt out once; a text with very many partners is a skewed join, that is split."""
-    b = pairs.join(blobs.select(F.col("node").alias("b"), F.col("blob").alias("blob_b")), "b")
-    both = b.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("blob_a")), "a")
-    return both.select("a", "b", "blob_a", "blob_b").mapInArrow(_similar, "a long, b long, similarity double").checkpoint()
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similarities of pairs of texts."""
+    for part, x, y in _paired(batches, "a", "b"):
+        n, m = (np.array([len(v) for v in s], np.int64) for s in (x, y))
+        common = np.array([len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y)], np.int64)
+        yield base.record(_SIMS, a=part.column("a"), b=part.column("b"), common=common, n=n, m=m, similarity=common / (n + m - common))
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for part in base.passes(batches, "blob"):
-        nodes = part.column("node").to_numpy()
-        doc, element, *_ = shingles([unpack.decompress(x).decode() for x in part.column("blob").to_pylist()])
-        size = np.bincount(doc, minlength=len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[doc]), pa.array(size[doc].astype(np.int64)), pa.array(element.view(np.int64))], names=["node", "size", "shingle"])
+def _with_texts(pairs: DataFrame, blobs: DataFrame, left: str, right: str) -> DataFrame:
+    """Pairs with the texts of both sides. A text with very many partners makes a skewed join, which Spark splits."""
+    for side in (right, left):
+        pairs = pairs.join(blobs.select(F.col("node").alias(side), F.col("blob").alias(f"blob_{side}")), side)
+    return pairs
 
 
-def _reach(blobs: DataFrame) -> DataFrame:
-    """For each text its number of shingles, and that of the largest text that it can be similar to: shingles that no other of these texts has are lost to any pair."""
-    rows = blobs.mapInArrow(_shingle_rows, "node long not null, size long not null, shingle long not null")
-    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = rows.groupBy("node").agg(F.max("size").alias("size"))
-    shared = F.col("size") - F.coalesce("alone", F.lit(0))
-    return sizes.join(alone, "node", "left").select("node", "size", (shared * ((1 + THRESHOLD) / THRESHOLD) - F.col("size") + 1e-6).alias("reach"))
+def _verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the shingles that they have in common, their sizes and their similarity."""
+    return _with_texts(pairs, blobs, "a", "b").select("a", "b", "blob_a", "blob_b").mapInArrow(_similar, _SIMS)
 
 
-def _outer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for part in base.passes(batches, "blob"):
-        known: dict[int, np.ndarray] = {}
-        texts = {**dict(zip(part.column("p").to_pylist(), part.column("pivot").to_pylist())), **dict(zip(part.column("node").to_pylist(), part.column("blob").to_pylist()))}
-        doc, element, *_ = shingles([unpack.decompress(x).decode() for x in texts.values()])
-        edges = np.searchsorted(doc, np.arange(len(texts) + 1))
-        known = {k: element[a:b] for k, a, b in zip(texts, edges, edges[1:])}
-        p, node = part.column("p").to_pylist(), part.column("node").to_pylist()
-        own = [known[n][~np.isin(known[n], known[c])] for c, n in zip(p, node)]
+def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of texts that their pivot lacks."""
+    for part, x, y in _paired(batches, "p", "node"):
+        own = [v[np.isin(v, u, assume_unique=True, invert=True)] for u, v in zip(x, y)]
         size = [len(o) for o in own]
         if sum(size):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p, size)), pa.array(np.repeat(node, size)), pa.array(np.concatenate(own).view(np.int64))], names=["p", "node", "shingle"])
-
-
-def _outer(sized: DataFrame, blobs: DataFrame) -> DataFrame:
-    """The shingles of texts that their pivot lacks and another text around it has too."""
-    texts = sized.select("p", "node").join(blobs, "node").join(blobs.select(F.col("node").alias("p"), F.col("blob").alias("pivot")), "p")
-    rows = texts.select("p", "node", "pivot", "blob").mapInArrow(_outer_rows, "p long not null, node long not null, shingle long not null").repartition("p", "shingle")  # one exchange for counting and joining
-    met = rows.groupBy("p", "shingle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(met, ["p", "shingle"]).join(sized.select("p", "node", "component", "far", "size", "reach"), ["p", "node"])
+            columns = [pa.array(np.repeat(part.column(c).to_numpy(), size)) for c in ("p", "node", "component")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(own).view(np.int64))], names=["p", "node", "component", "shingle"])
+
+
+#: Two texts around a pivot can be linked only if their distances from it differ by no more than this.
+SLACK = 1 - THRESHOLD + 1e-9
+#: A link's smallest intersection is its sizes' sum divided by this.
+SHARE = (1 + THRESHOLD) / THRESHOLD
+
+
+def _across(x: DataFrame, y: DataFrame, keys: list[str], once: bool) -> DataFrame:
+    """Pairs of rows of x and y with equal keys and different components, as far as distances and sizes allow a link: first the components are paired by the
+    bounds of their rows, then the rows. `once` if x and y are the same rows."""
+
+    def cells(rows: DataFrame, name: str) -> DataFrame:
+        bounds = F.min("far").alias("near"), F.max("far").alias("far"), F.min("size").alias("size"), F.max("reach").alias("reach")
+        return rows.groupBy(*keys, F.col("component").alias(name)).agg(*bounds)
+
+    def same(*names: str):
+        return [F.col(f"{names[0]}.{k}") == F.col(f"{names[1]}.{k}") for k in keys]
+
+    a, b = cells(x, "cx").alias("a"), cells(y, "cy").alias("b")
+    far, size = F.greatest(F.col("a.near") - F.col("b.far"), F.col("b.near") - F.col("a.far")) <= SLACK, (F.col("a.size") <= F.col("b.reach")) & (F.col("b.size") <= F.col("a.reach"))
+    apart = F.col("cx") < F.col("cy") if once else F.col("cx") != F.col("cy")
+    pairs = a.join(b, [*same("a", "b"), apart, far, size]).select(*[F.col(f"a.{k}") for k in keys], "cx", "cy").alias("c")
+    left = x.alias("x").join(pairs, [*same("x", "c"), F.col("x.component") == F.col("c.cx")]).select("x.*", "cy").alias("x")
+    near = F.abs(F.col("x.far") - F.col("y.far")) <= SLACK
+    return left.join(y.alias("y"), [*same("x", "y"), F.col("x.cy") == F.col("y.component"), near, F.col("y.size") <= F.col("x.reach"), F.col("x.size") <= F.col("y.reach")])
+
+
+def _missed(around: DataFrame, found: DataFrame, blobs: DataFrame, scratch: base.Scratch) -> DataFrame | None:
+    """Links (a, b) of texts around the same pivot that are in different components so far; None if all texts around each pivot are in one."""
+    spots = around.select(F.col("a").alias("p"), F.col("b").alias("node"), "common", F.col("size_a").alias("p_size"), F.col("size_b").alias("size"), "similarity")
+    spots = scratch.keep(spots.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "spots")
+    parted = spots.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").drop("low", "high")
+    spots = scratch.keep(base.join_back(spots, parted, ["p"], "node"), "parted")
+    if spots.isEmpty():
+        return None
+
+    rows = _with_texts(spots.select("p", "node", "component"), blobs, "p", "node").mapInArrow(_outer, "p long not null, node long not null, component long not null, shingle long not null")
+    rows = scratch.keep(rows, "outer")
+    lists = rows.groupBy("p", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").drop("low", "high")
+    foreign = scratch.keep(base.join_back(rows, lists, ["p", "shingle"], "node"), "foreign")  # shingles that texts of two components or more have
+    # What a text can have in common with one of another component: what the pivot has too, and these.
+    others = foreign.groupBy("p", "node").agg(F.count("*").alias("others"))
+    shared = F.col("common") + F.coalesce("others", F.lit(0))
+    able = spots.join(others, ["p", "node"], "left").where(shared >= THRESHOLD * F.col("size") - 1e-6)
+    able = able.withColumns({"far": 1 - F.col("similarity"), "reach": shared * SHARE - F.col("size") + 1e-6, "within": F.col("common") * SHARE - F.col("size") + 1e-6})
+    able = scratch.keep(able.drop("others"), "able")
+
+    # A pair whose common shingles are all the pivot's: each is at most `within` the other's size. So one is smaller than the pivot, or both are linked to it.
+    inner = able.where(F.col("within") >= THRESHOLD * F.col("size") - 1e-5)
+    inside = _across(inner.where("size < p_size"), inner.where(F.col("similarity") < THRESHOLD), ["p"], False).where((F.col("x.size") <= F.col("y.within")) & (F.col("y.size") <= F.col("x.within")))
+    # Any other pair has a shingle in common that the pivot lacks.
+    outer = scratch.keep(foreign.join(able.select("p", "node", "size", "far", "reach"), ["p", "node"]), "outer")
+    outside = _across(outer, outer, ["p", "shingle"], True)
+    wanted = [j.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")) for j in (inside, outside)]
+    return scratch.keep(_verified(wanted[0].union(wanted[1]).distinct(), blobs).where(F.col("similarity") >= THRESHOLD).select("a", "b"), "missed")
 
 
 def _texts(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The ids and keys of all rows, and one row per key: least (its smallest id), class_id and class_key (those of the first text of its class) and n (its rows)."""
     spark = df.sparkSession
     base.prepare(spark)
-    base.shared_dir(spark)
-    signed = _signed(df, doc_id, text).checkpoint()  # narrow, and read twice
-    # A text is a node, numbered in the order of its smallest id, then its key. The number is made once, in the checkpoint, from which everything else reads it.
+    scratch = base.Scratch(spark, "neardup")
+    signed = scratch.keep(_signed(df, doc_id, text), "signed")  # narrow, and read twice
+    # A text is a node, numbered in the order of its smallest id, then its key. The number is made once, in the written table, from which everything else reads it.
     order = [F.col("least").asc_nulls_last(), F.col("key").asc()]
     unique = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"), F.count("*").alias("n"))
-    unique = unique.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()).checkpoint()
-    nodes = unique.select("node", "bands")
+    unique = scratch.keep(unique.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "unique")
 
-    buckets = nodes.mapInArrow(_bucket_rows, "bucket long not null, node long not null")
+    buckets = unique.select("node", "bands").mapInArrow(_bucket_rows, "bucket long not null, node long not null")
     full = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a < z").drop("z")
-    members = base.join_back(buckets, full, ["bucket"], "node").checkpoint()  # only texts that share a bucket
-    stars = members.where("node > a").select("a", F.col("node").alias("b")).distinct()
+    members = scratch.keep(base.join_back(buckets, full, ["bucket"], "node"), "members")  # only texts that share a bucket
     wanted = unique.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", _named(F.col("least")).alias("name"))
-    blobs = _blobs(df, doc_id, text).join(wanted, ["name", "key"]).groupBy("node").agg(F.min("blob").alias("blob")).checkpoint()  # dealt out by id too: copies of a text have others
-    sims = _verified(stars, blobs)
+    blobs = scratch.keep(_blobs(df, doc_id, text).join(wanted, ["name", "key"]).groupBy("node").agg(F.min("blob").alias("blob")), "blobs")  # dealt out by id too: copies of a text have others
+    sims = scratch.keep(_verified(members.where("node > a").select("a", F.col("node").alias("b")).distinct(), blobs), "stars")
 
-    # Buckets whose texts are not all linked to the first centre get a second: the text that is most similar to the first.
-    near = members.join(sims.withColumnRenamed("b", "node"), ["a", "node"])
+    # The pivot of a bucket whose texts are not all linked to its smallest: the text that is most similar to that.
     best = F.struct("similarity", -F.col("node"))
-    second = near.groupBy("bucket", "a").agg(F.max_by("node", best).alias("c"), F.min("similarity").alias("least")).where(F.col("least") < THRESHOLD).select("bucket", "a", "c").checkpoint()
-    open_ = members.select("bucket", "node").join(second, "bucket")
-    pairs = open_.where("node <> c and node <> a").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-    extra = _verified(pairs.join(sims.select("a", "b"), ["a", "b"], "left_anti"), blobs)
-    sims = sims.union(extra)
-    links = sims.where(F.col("similarity") >= THRESHOLD).select("a", "b")
-    found = components(links).checkpoint()
-
-    # Texts around a pivot, the centre that is more similar to its bucket. What is known of a text: its component, its similarity to the pivot, its size.
-    both = sims.union(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    rated = open_.select("bucket", "node", F.explode(F.array("a", "c")).alias("p")).distinct().where("node <> p").join(both.select(F.col("a").alias("p"), F.col("b").alias("node"), "similarity"), ["p", "node"])
-    pivots = rated.groupBy("bucket", "p").agg(F.avg("similarity").alias("mean")).groupBy("bucket").agg(F.max_by("p", F.struct("mean", -F.col("p"))).alias("p"))
-    around = rated.join(pivots, ["bucket", "p"]).groupBy("p", "node").agg(F.max("similarity").alias("similarity")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parted = around.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("p")
-    around = around.join(parted, "p").checkpoint()
-    sizes = _reach(blobs.join(around.select("node").union(around.select(F.col("p").alias("node"))).distinct(), "node", "left_semi")).checkpoint()
-    sized = around.join(sizes, "node").join(sizes.select(F.col("node").alias("p"), F.col("size").alias("p_size")), "p")
-    for _ in range(2):  # a text that no other around its pivot is small enough for has no partner; without it others may have none
-        least = sized.groupBy("p").agg(F.min("size").alias("least"))
-        sized = sized.join(least, "p").where(F.col("reach") >= F.col("least")).drop("least")
-    kept = F.col("similarity") / (1 + F.col("similarity")) * (F.col("p_size") + F.col("size"))  # shingles that it has in common with the pivot
-    sized = sized.withColumns({"far": 1 - F.col("similarity"), "within": kept * ((1 + THRESHOLD) / THRESHOLD) - F.col("size") + 1e-6}).checkpoint()
-
-    # A pair whose common shingles are all the pivot's: each is at most `within` the other's size, so one is smaller than the pivot, or both are linked to it.
-    slack = 1 - THRESHOLD + 1e-9
-    x, y = sized.where(F.col("size") < F.col("p_size")).alias("x"), sized.where(F.col("similarity") < THRESHOLD).alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.far") - F.col("y.far")) <= slack) & (F.col("y.size") <= F.col("x.reach")) & (F.col("x.size") <= F.col("y.reach"))
-    inside = x.join(y, (F.col("x.p") == F.col("y.p")) & apart & (F.col("x.size") <= F.col("y.within")) & (F.col("y.size") <= F.col("x.within")))
-    # Any other pair has a shingle in common that the pivot lacks.
-    outer = _outer(sized, blobs)
-    x, y = outer.alias("x"), outer.alias("y")
-    outside = x.join(y, (F.col("x.p") == F.col("y.p")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & apart)
-    wanted = [j.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")) for j in (inside, outside)]
-    pairs = wanted[0].union(wanted[1]).distinct().join(sims.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(pairs, blobs).where(F.col("similarity") >= THRESHOLD).select("a", "b")
-
-    stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    classes = components(stars.union(more))
-    texts = unique.drop("bands").join(classes, "node", "left").select("key", "least", "n", F.coalesce("component", "node").alias("component"))
-    heads = unique.select(F.col("node").alias("component"), F.col("least").alias("class_id"), F.col("key").alias("class_key"))
-    return signed.select("doc_id", "key"), texts.join(heads, "component").select("key", "least", "class_id", "class_key", "n").checkpoint()
+    near = members.join(sims.select("a", F.col("b").alias("node"), "similarity"), ["a", "node"])
+    pivots = scratch.keep(near.groupBy("bucket").agg(F.max_by("node", best).alias("p"), F.min("similarity").alias("least")).where(F.col("least") < THRESHOLD).drop("least"), "pivots")
+    spots = members.join(pivots, "bucket").where("node <> p").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+    around = scratch.keep(_verified(spots, blobs), "around")
+    linked = F.col("similarity") >= THRESHOLD
+    links = sims.where(linked).select("a", "b").union(around.where(linked).select("a", "b"))
+    found = scratch.keep(components(links, scratch), "found")
+
+    more = _missed(around, found, blobs, scratch)
+    if more is not None and not more.isEmpty():  # links between components: these are the nodes of a smaller graph
+        for side in "ab":
+            more = more.join(found.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
+        joined = scratch.keep(components(more, scratch), "joined")
+        old = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+        found = scratch.keep(old.union(joined.join(found, "node", "left_anti").select("node", "component")), "classes")
+
+    heads = found.where("node <> component").join(unique.select(F.col("node").alias("component"), F.col("least").alias("class_id"), F.col("key").alias("class_key")), "component").drop("component")
+    first = F.col("class_key").isNull()  # of its class, or alone
+    texts = unique.join(heads, "node", "left").select("key", "least", F.when(first, F.col("least")).otherwise(F.col("class_id")).alias("class_id"), F.when(first, F.col("key")).otherwise(F.col("class_key")).alias("class_key"), "n")
+    texts = scratch.keep(texts, "texts")
+    scratch.drop_all_but(signed, texts)
+    return signed.select("doc_id", "key"), texts
 
 
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -425,6 +425,41 @@ def test_null_and_repeated_ids_keep_unrelated_texts(spark):
     assert sorted(kept, key=str) == sorted([(None, a), (None, min(c, c.upper())), (1, b), (5, d), (5, e)], key=str)
 
 
+@pytest.mark.parametrize("parts", [0, 7])
+def test_links_that_pivots_miss(spark, parts):
+    """All links between components around a pivot are found, and only these; parts: texts are in so many components so far (0: each in its own)."""
+    import zstandard
+
+    rnd, texts = random.Random(17), []
+    for _ in range(3):
+        whole = prose(rnd.randrange(1000), 1, 3000)[0].split()[:90]
+        for _ in range(25):
+            w = whole[: rnd.randint(70, 90)] if rnd.random() < 0.4 else list(whole)
+            for _ in range(rnd.randint(0, 3)):
+                w[rnd.randrange(len(w))] = f"new{rnd.randrange(3)}"
+            texts.append(" ".join(w + [f"end{k}" for k in range(rnd.randint(0, 8))]))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    blobs = frame(spark, [(k, zstandard.compress(t.encode())) for k, t in enumerate(texts)], "node long, blob binary")
+    around = neardup._verified(frame(spark, [(k - k % 25, k) for k in range(75) if k % 25], "a long, b long"), blobs)
+    component = (lambda k: k % parts) if parts else (lambda k: k)
+    found = frame(spark, [(k, component(k)) for k in range(75)] if parts else [], "node long, component long")
+    got = neardup._missed(around, found, blobs, base.Scratch(spark, "test"))
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    want = {(a, b) for a in range(75) for b in range(a + 1, 75) if a // 25 == b // 25 and a % 25 and component(a) != component(b) and near(a, b)}
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 20
+    assert neardup._missed(around, frame(spark, [(k, 0) for k in range(75)], "node long, component long"), blobs, base.Scratch(spark, "test")) is None
+
+
+def test_repeats_lose_no_links(spark):
+    """A text that repeats a stretch fifty times, which its near copy has once, is still found."""
+    rnd, rows = random.Random(23), []
+    for k in range(40):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+        rows += [(2 * k, " ".join([*words, *(words[90:] * 50)])), (2 * k + 1, " ".join(words))]
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(frame(spark, rows)).collect()}
+    assert got == brute.classes(rows)
+
+
 def test_probability_jaccard():
     """Registers agree as often as the weights say."""
     rnd = np.random.default_rng(1)
@@ -450,8 +485,19 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         parent[y] = x
+    edges += [(None, 3), (7, None), (11, 11), (100, 101)]
     got = {r.node: r.component for r in components.components(frame(spark, edges, "a long, b long")).collect()}
+    edges = [e for e in edges if None not in e]
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert components.components(frame(spark, [], "a long, b long")).collect() == []
+
+
+def test_hot_keys_are_dealt_out(spark):
+    """A key with most rows is joined in parts, and nothing is lost or doubled."""
+    rows = frame(spark, [(0 if k % 3 else k, k) for k in range(3000)], "key long, id long")
+    summary = rows.groupBy("key").agg(F.max("id").alias("top"), F.count("*").alias("n"))
+    out = base.join_back(rows, summary, ["key"], "id").collect()
+    assert sorted((r.key, r.id) for r in out) == sorted((r.key, r.id) for r in rows.collect()) and {r.top for r in out if r.key == 0} == {2999}
 
 
 # 8: WARC
