@@ -31,6 +31,16 @@ def round_even(x: Column, digits: int = 4) -> Column:
     return F.rint(x * scale) / scale
 
 
+#: Units in which exact_sum adds, and the largest value that it takes.
+UNIT, LARGEST = 10**9, 1e18
+
+
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles, whatever the order of the rows: whole multiples of 1 / UNIT are added as integers. Sums with a value beyond LARGEST are plain; null without any value."""
+    whole = F.sum(F.rint(F.when(F.abs(x) <= LARGEST, x) * F.lit(float(UNIT))).cast("decimal(38,0)")).cast("double") / F.lit(float(UNIT))
+    return F.when(F.max(F.abs(x)) <= LARGEST, whole).otherwise(F.sum(x))
+
+
 def binned(x: Column, edges: tuple[float, ...], labels: tuple[str, ...]) -> Column:
     """The label of the bin (edge, next edge] that x lies in, else null. The last edge may be infinity."""
     out = None
@@ -50,6 +60,7 @@ def ordinal(x: Column, labels: tuple[str, ...]) -> Column:
     return out
 
 
+# Edges and labels that results are expected to have.
 INF = float("inf")
 DURATION = ((0, 1, 8, 24, INF), ("Short (<1h)", "Medium (1-8h)", "Long (8-24h)", "Very Long (>24h)"))
 SIZE = ((0, 16, 64, 256, INF), ("Small (1-16)", "Medium (17-64)", "Large (65-256)", "Very Large (>256)"))

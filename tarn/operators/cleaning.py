@@ -6,6 +6,7 @@ Rows carry file_id and row_index: the file that they are from and their place in
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.numeric import to_number
@@ -16,25 +17,19 @@ TIMES, NUMBERS = ("time", "start_time", "end_time"), ("job_cpu_usage", "value_me
 REQUIRED = ("time", "start_time", "end_time", "job_exitcode", "queue", "job_username", "job_cpu_usage", "value_memused", "ncores", "nhosts", "jid")
 
 
-def _sniffed(raw: DataFrame, column: str, test: Column, name: str) -> DataFrame:
-    """Per file: does one of the first non-null values of a column pass a test. The first ones are kept by partial aggregation of row numbers."""
-    # min over rows of the rank is not partial; the k smallest rows are, as a bounded sorted array of (row, passes).
-    keyed = raw.where(F.col(column).isNotNull()).select("file_id", F.col("row_index").alias("row"), test.alias("ok"))
-    from pyspark.sql import Window as W
-
-    first = keyed.withColumn("n", F.row_number().over(W.partitionBy("file_id").orderBy("row"))).where(F.col("n") <= SNIFFED)
-    return first.groupBy("file_id").agg(F.max(F.col("ok")).alias(name))
-
-
 def detect_layout(raw: DataFrame) -> DataFrame:
-    """One row per file: is_legacy, when early job names are final states and early exit codes are node lists."""
-    files = raw.select("file_id").distinct()
+    """One row per file: is_legacy, when early job names are final states and early exit codes are node lists. Early are the first SNIFFED values that are not null.
+
+    One scan: both tests of a row are two rows here, and of each file and test only the first few are exchanged.
+    """
     if not {"jobname", "exitcode"} <= set(raw.columns):
-        return files.withColumn("is_legacy", F.lit(False))
-    names = _sniffed(raw, "jobname", F.col("jobname").cast("string").isin(*STATES), "states")
-    codes = _sniffed(raw, "exitcode", F.col("exitcode").cast("string").startswith("{"), "nodes")
-    both = files.join(names, "file_id", "left").join(codes, "file_id", "left")
-    return both.select("file_id", F.coalesce(F.col("states") & F.col("nodes"), F.lit(False)).alias("is_legacy"))
+        return raw.select("file_id").distinct().withColumn("is_legacy", F.lit(False))
+    tests = F.array(F.struct(F.lit(0).alias("test"), F.col("jobname").cast("string").isin(*STATES).alias("ok")), F.struct(F.lit(1).alias("test"), F.col("exitcode").cast("string").startswith("{").alias("ok")))
+    rows = raw.select("file_id", F.col("row_index").alias("row"), F.explode(tests).alias("t")).select("file_id", "row", "t.*")
+    early = F.row_number().over(W.partitionBy("file_id", "test").orderBy(F.col("ok").isNull(), "row"))
+    first = rows.withColumn("n", early).where(F.col("n") <= SNIFFED)
+    passed = lambda k: F.coalesce(F.max(F.when(F.col("test") == k, F.col("ok"))), F.lit(False))
+    return first.groupBy("file_id").agg((passed(0) & passed(1)).alias("is_legacy"))
 
 
 def _renamed(raw: DataFrame, sources: dict[str, str]) -> DataFrame:
@@ -55,29 +50,41 @@ def normalize_current(raw: DataFrame) -> DataFrame:
     return _renamed(raw, {"job_exitcode": "exitcode", "job_username": "username", "job_cpu_usage": "value_cpuuser"})
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Both layouts under the same names. All files of `raw` share a schema, so what a file lacks is known without reading it."""
-    flagged = raw.join(detect_layout(raw), "file_id")
-    sides = [normalize_legacy(flagged.where("is_legacy")), normalize_current(flagged.where("not is_legacy"))]
+def normalize(raw: DataFrame, legacy: bool | None = None) -> DataFrame:
+    """The required columns under the same names. All files of `raw` share a schema, so what a file lacks is known without reading it. Without `legacy`, the layout
+    of each file is looked up and joined; with it, all files are of that layout."""
     keep = ["file_id", "row_index", *REQUIRED]
-    ready = [s.select(*[F.col(c) for c in keep]) for s in sides if set(REQUIRED) <= set(s.columns)]
+    if legacy is None:
+        flagged = raw.join(detect_layout(raw), "file_id")
+        sides = [normalize_legacy(flagged.where("is_legacy")), normalize_current(flagged.where("not is_legacy"))]
+    else:
+        sides = [(normalize_legacy if legacy else normalize_current)(raw)]
+    ready = [s.select(*keep) for s in sides if set(REQUIRED) <= set(s.columns)]
     if not ready:
-        return flagged.limit(0).select("file_id", "row_index", *[F.lit(None).cast("string").alias(c) for c in REQUIRED])
-    kinds = [dict(r.dtypes) for r in ready]
+        return raw.limit(0).select("file_id", "row_index", *[F.lit(None).cast("string").alias(c) for c in REQUIRED])
     if len(ready) == 2:
+        kinds = [dict(r.dtypes) for r in ready]
         differ = [c for c in keep if kinds[0][c] != kinds[1][c]]
         ready = [r.withColumns({c: F.col(c).cast("string") for c in differ}) if differ else r for r in ready]
         return ready[0].unionByName(ready[1])
     return ready[0]
 
 
-def cast_timestamps(df: DataFrame) -> DataFrame:
-    """Times as timestamps. A file with a value that can't be read is dropped whole. Numbers are nanoseconds since 1970."""
+def _micros(nanos: Column) -> Column:
+    """Whole microseconds of nanoseconds since 1970, rounded down without a detour over doubles."""
+    return F.call_function("div", nanos - F.pmod(nanos, F.lit(1000)), F.lit(1000))
+
+
+def cast_timestamps(df: DataFrame, few_files: bool = False) -> DataFrame:
+    """Times as timestamps. A file with a value that can't be read is dropped whole; `few_files` says that the names of all files may be broadcast. Numbers,
+    whole or not, are nanoseconds since 1970; NaN, infinities and what no long holds are missing."""
     kinds = dict(df.dtypes)
 
     def parsed(c: str) -> Column:
         if kinds[c] in ("tinyint", "smallint", "int", "bigint"):
-            return F.timestamp_micros((F.col(c) / 1000).cast("bigint"))
+            return F.timestamp_micros(_micros(F.col(c).cast("bigint")))
+        if kinds[c] in ("float", "double") or kinds[c].startswith("decimal"):
+            return F.timestamp_micros(_micros(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).try_cast("bigint")))
         return F.try_to_timestamp(F.col(c)) if kinds[c] == "string" else F.col(c).cast("timestamp")
 
     out = df.withColumns({f"_{c}": parsed(c) for c in TIMES})
@@ -88,7 +95,7 @@ def cast_timestamps(df: DataFrame) -> DataFrame:
             one = F.col(c).isNotNull() & F.col(f"_{c}").isNull()
             bad = one if bad is None else bad | one
         poisoned = out.where(bad).select("file_id").distinct()
-        out = out.join(poisoned, "file_id", "left_anti")
+        out = out.join(F.broadcast(poisoned) if few_files else poisoned, "file_id", "left_anti")
     return out.withColumns({c: F.col(f"_{c}") for c in TIMES}).drop(*[f"_{c}" for c in TIMES])
 
 
@@ -107,6 +114,6 @@ def valid(df: DataFrame) -> DataFrame:
     return df.where((F.col("duration_seconds") > 0) & F.col("job_cpu_usage").isNotNull() & F.col("value_memused").isNotNull() & (F.col("ncores") > 0))
 
 
-def clean(df: DataFrame) -> DataFrame:
+def clean(df: DataFrame, few_files: bool = False) -> DataFrame:
     """Normalised rows to valid samples."""
-    return valid(with_duration(cast_numerics(cast_timestamps(df))))
+    return valid(with_duration(cast_numerics(cast_timestamps(df, few_files))))

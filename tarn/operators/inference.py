@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.distributions import chi2_sf, f_sf, t_quantile
@@ -31,7 +32,7 @@ def confidence_intervals(jobs: DataFrame, level: float = 0.95) -> DataFrame:
     return jobs.sparkSession.createDataFrame(out, "measure string, n long, mean double, sem double, low double, high double")
 
 
-def anova(jobs: DataFrame, key: str = "job_exitcode", of: str = "composite_waste") -> DataFrame:
+def anova_statistic(jobs: DataFrame, key: str = "job_exitcode", of: str = "composite_waste") -> DataFrame:
     """One-way analysis of variance over groups of more than MORE_THAN rows: F and its degrees of freedom. No row with fewer than two groups."""
     groups = jobs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"), F.count(of).cast("double").alias("n"), F.avg(of).alias("m"), F.coalesce(F.var_samp(of), F.lit(0.0)).alias("v")).where(F.col("rows") > MORE_THAN)
     # Sums of squares between groups from sums over groups; centred on the grand mean for precision.
@@ -44,34 +45,52 @@ def anova(jobs: DataFrame, key: str = "job_exitcode", of: str = "composite_waste
     return sums.where("k > 1").select(f.alias("f_statistic"), (F.col("k") - 1).cast("bigint").alias("df_between"), freedom[1].cast("bigint").alias("df_within"))
 
 
+def _tested(rows: DataFrame, test) -> DataFrame:
+    """The statistic of a test, at most one row, with its p-value; null where the statistic is."""
+    found = [(*r, None if r[0] is None else test(*r)) for r in rows.collect()]
+    schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ")
+    return rows.sparkSession.createDataFrame(found, f"{schema}, p_value double")
+
+
+def anova(jobs: DataFrame, key: str = "job_exitcode", of: str = "composite_waste") -> DataFrame:
+    """anova_statistic with its p-value."""
+    return _tested(anova_statistic(jobs, key, of), f_sf)
+
+
 def anova_test(jobs: DataFrame, key: str = "job_exitcode") -> dict | None:
     row = anova(jobs, key).first()
-    return row and {"f_statistic": row.f_statistic, "p_value": None if row.f_statistic is None else f_sf(row.f_statistic, row.df_between, row.df_within)}
+    return row and {"f_statistic": row.f_statistic, "p_value": row.p_value}
 
 
-def kruskal(jobs: DataFrame, key: str = "size_category", of: str = "composite_waste") -> DataFrame:
-    """Kruskal-Wallis H with average ranks and the correction for ties, over groups of more than MORE_THAN rows; null if all values are equal.
+def kruskal_statistic(jobs: DataFrame, key: str = "size_category", of: str = "composite_waste") -> DataFrame:
+    """Kruskal-Wallis H with average ranks and the correction for ties, over groups of more than MORE_THAN rows; null if all values are equal. No row with fewer than two groups.
 
-    Average ranks come from counts of distinct values, cell by cell (see ranks.py), so no task holds all values.
+    Values are counted per group and cell (see ranks.py). A window within the cell ranks them there; of each group and cell only the sum of these ranks, the rows and the ties go
+    on, and what lies in lower cells is added to them. So no task holds all values, and jobs are read twice: for the groups' sizes, and for this.
     """
     rows = jobs.where(F.col(key).isNotNull() & F.col(of).isNotNull()).select(F.col(key).alias("g"), F.col(of).alias("v"))
     large = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > MORE_THAN)
-    counts = rows.join(large.select("g"), "g", "left_semi").groupBy("v", "g").agg(F.count("*").alias("c"))
-    values = ranks.counted(counts.groupBy("v").agg(F.sum("c").alias("t")), [], presummed=True)
-    ranked = ranks.cumulative(values, ranks.offsets(values, []), []).select("v", "t", (F.col("cum") - F.col("t") + (F.col("t") + 1) / 2).alias("rank"))
-    by_group = counts.join(ranked.select("v", "rank"), "v").groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
-    cubes = F.pow(F.col("t").cast("double"), 3) - F.col("t")
-    ties = values.agg(F.sum(cubes).alias("ties"))
-    h = by_group.agg(F.count("*").alias("k"), F.sum("n").cast("double").alias("total"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s")).where("k > 1")
+    counts = rows.join(large.select("g"), "g", "left_semi").groupBy("v", "g").agg(F.count("*").alias("c")).withColumn("cell", ranks.cell(F.col("v")))
+    c, t = F.col("c").cast("double"), F.col("t").cast("double")
+    here = counts.withColumns({"t": F.sum("c").over(W.partitionBy("cell", "v")), "upto": F.sum("c").over(W.partitionBy("cell").orderBy("v"))})
+    cells = here.groupBy("cell", "g").agg(F.sum("c").alias("n"), F.sum(c * (F.col("upto") - t + (t + 1) / 2)).alias("r"), F.sum(c * (t * t - 1)).alias("ties"))
+    lower = F.coalesce(F.sum("n").over(W.orderBy("cell").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))  # over cells and groups, not over jobs
+    by_group = cells.withColumn("lower", lower).groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("r") + F.col("n") * F.col("lower")).alias("r"), F.sum("ties").alias("ties"))
+    h = by_group.agg(F.count("*").alias("k"), F.sum("n").cast("double").alias("total"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("ties").alias("ties")).where("k > 1")
     total = F.col("total")
     plain = F.lit(12.0) / (total * (total + 1)) * F.col("s") - 3 * (total + 1)
     correction = 1 - F.try_divide(F.col("ties"), F.pow(total, 3) - total)
-    return h.crossJoin(ties).select(F.try_divide(plain, F.nullif(correction, F.lit(0.0))).alias("h_statistic"), (F.col("k") - 1).cast("bigint").alias("df"))
+    return h.select(F.try_divide(plain, F.nullif(correction, F.lit(0.0))).alias("h_statistic"), (F.col("k") - 1).cast("bigint").alias("df"))
+
+
+def kruskal(jobs: DataFrame, key: str = "size_category", of: str = "composite_waste") -> DataFrame:
+    """kruskal_statistic with its p-value."""
+    return _tested(kruskal_statistic(jobs, key, of), chi2_sf)
 
 
 def kruskal_test(jobs: DataFrame, key: str = "size_category") -> dict | None:
     row = kruskal(jobs, key).first()
-    return row and {"h_statistic": row.h_statistic, "p_value": None if row.h_statistic is None else chi2_sf(row.h_statistic, row.df)}
+    return row and {"h_statistic": row.h_statistic, "p_value": row.p_value}
 
 
 def density(jobs: DataFrame, of: str = "composite_waste", grid: int = 200, bins: int = 2048) -> DataFrame:

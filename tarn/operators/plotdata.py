@@ -26,10 +26,10 @@ def histogram(jobs: DataFrame, of: str = "composite_waste", bins: int = 50) -> D
 def boxes(jobs: DataFrame, key: str, of: str = "composite_waste") -> DataFrame:
     """Per group: quartiles, whiskers (the furthest values within 1.5 interquartile ranges of the box), and how many values lie outside them."""
     rows = jobs.where(F.col(key).isNotNull() & F.col(of).isNotNull()).select(F.col(key).alias("g"), F.col(of).alias("v"))
-    q = ranks.quantiles(rows, (0.25, 0.5, 0.75), ["g"]).join(rows.groupBy("g").agg(F.avg("v").alias("m")), "g")
+    q = ranks.quantiles(rows, (0.25, 0.5, 0.75), ["g"])
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = (F.col("v") >= F.col("q")[0] - reach) & (F.col("v") <= F.col("q")[2] + reach)
-    out = rows.join(q, "g").groupBy("g", "q", "n", "m").agg(F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(1)).alias("outliers"))
+    out = rows.join(q, "g").groupBy("g", "q", "n").agg(F.avg("v").alias("m"), F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(1)).alias("outliers"))
     order = ordinal(F.col("g"), DOMAINS[key]) if key in DOMAINS else -F.col("m")
     shown = out.orderBy(order, "g")
     return shown.select(F.col("g").alias(key), F.col("n").alias("count"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "whisker_low", "whisker_high", F.col("outliers").cast("bigint").alias("outliers"))

@@ -1,6 +1,6 @@
 """Exact ranks and quantiles without bringing all values into one task.
 
-Values are counted per distinct value and dealt into CELLS cells of equal width between the least and the largest value: a function of the value alone, so every reader
+Values are counted per distinct value and dealt into cells of equal relative width: a function of the value alone, so a skewed range needs no look at the data first, and every reader
 of a cell sees the same rows. Totals of the cells (a bounded table) give each cell its offset, and a window within the cell does the rest.
 """
 
@@ -10,24 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CELLS = 4096
+#: Cells per doubling of a value's size.
+CELLS = 2048
+_END = 1 << 30
 
 
-def _cell(v: Column, lo: Column, hi: Column) -> Column:
-    """NaN-free values; infinite ranges and single values are one cell."""
-    share = F.try_divide(v - lo, hi - lo)
-    return F.when((hi > lo) & ~F.isnan(share), F.least(F.floor(share * F.lit(float(CELLS))), F.lit(CELLS - 1))).otherwise(F.lit(0)).cast("int")
+def cell(v: Column) -> Column:
+    """The number of a value's cell, which never falls as values rise: 0 for zero, mirrored for negative values, an end each for infinities. NaN is taken as the largest value, as in Spark's order."""
+    size = F.floor((F.log2(F.abs(v)) + F.lit(1100.0)) * F.lit(float(CELLS))).cast("int")
+    far = F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+    return F.when(v == 0, F.lit(0)).when(far, F.when(v < 0, F.lit(-_END)).otherwise(F.lit(_END))).when(v > 0, size).otherwise(-size)
 
 
-def counted(rows: DataFrame, keys: list[str], value: str = "v", presummed: bool = False) -> DataFrame:
+def counted(rows: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """Distinct values per key with their counts (t) and cells."""
-    values = rows if presummed else rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("t"))
-    edges = values.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))  # one row
-    return values.crossJoin(F.broadcast(edges)).withColumn("cell", _cell(F.col(value), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("t")).withColumn("cell", cell(F.col(value)))
 
 
 def offsets(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and cell: how many rows lie in it (size) and before it (before), and how many the key has (total). At most CELLS rows a key."""
+    """Per key and cell: how many rows lie in it (size) and before it (before), and how many the key has (total). CELLS rows a key and doubling at most."""
     cells = values.groupBy(*keys, "cell").agg(F.sum("t").alias("size"))
     upto = F.sum("size").over(W.partitionBy(*keys).orderBy("cell"))
     return cells.withColumns({"before": upto - F.col("size"), "total": F.sum("size").over(W.partitionBy(*keys))})
@@ -58,9 +59,8 @@ def quantiles(rows: DataFrame, points: tuple[float, ...], keys: list[str], value
 
 def smallest(rows: DataFrame, order: str, n: int) -> DataFrame:
     """The n rows with the smallest hexadecimal digests in column `order`, ties by all columns: a top-k whose k may be as large as the table."""
-    cell = F.conv(F.substring(order, 1, 3), 16, 10).cast("int")
-    dealt = rows.withColumn("cell", cell)
-    sizes = dealt.groupBy("cell").agg(F.count("*").alias("size"))  # at most CELLS rows
+    dealt = rows.withColumn("cell", F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
+    sizes = dealt.groupBy("cell").agg(F.count("*").alias("size"))  # at most 16**3 rows
     before = sizes.select("cell", (F.sum("size").over(W.orderBy("cell")) - F.col("size")).alias("before")).where(F.col("before") < n)
     rank = F.row_number().over(W.partitionBy("cell").orderBy(order, *[c for c in rows.columns if c != order]))
     return dealt.withColumn("_rank", rank).join(before, "cell").where(F.col("before") + F.col("_rank") <= n).select(*rows.columns)

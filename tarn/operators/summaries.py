@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.numeric import DOMAINS, ordinal, round_even
+from tarn.functions.numeric import DOMAINS, exact_sum, ordinal, round_even
 from tarn.operators.ranks import quantiles
 
 MEASURES = ("cpu_waste", "mem_waste", "composite_waste")
@@ -37,11 +37,16 @@ def thresholds(jobs: DataFrame) -> DataFrame:
     return wide.selectExpr(f"stack({len(THRESHOLDS)}, {rows}) as (threshold, cpu_waste_pct, mem_waste_pct, composite_waste_pct)")
 
 
+def total(column: str) -> Column:
+    """The sum of a column, 0 without rows, whatever the order in which rows are added."""
+    return F.coalesce(exact_sum(F.col(column)), F.lit(0.0))
+
+
 def totals(jobs: DataFrame) -> DataFrame:
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    mean = lambda c: F.try_divide(exact_sum(F.col(c)), F.count(c))
     return jobs.agg(
-        total("cpu_hours_wasted").alias("total_cpu_hours_wasted"), F.avg("cpu_hours_wasted").alias("avg_cpu_hours_wasted_per_job"),
-        total("mem_gb_hours_wasted").alias("total_mem_gb_hours_wasted"), F.avg("mem_gb_hours_wasted").alias("avg_mem_gb_hours_wasted_per_job"),
+        total("cpu_hours_wasted").alias("total_cpu_hours_wasted"), mean("cpu_hours_wasted").alias("avg_cpu_hours_wasted_per_job"),
+        total("mem_gb_hours_wasted").alias("total_mem_gb_hours_wasted"), mean("mem_gb_hours_wasted").alias("avg_mem_gb_hours_wasted_per_job"),
     )
 
 
@@ -72,7 +77,7 @@ def user_waste(jobs: DataFrame) -> DataFrame:
         jobs.where(F.col("job_username").isNotNull()).groupBy("job_username")
         .agg(
             F.count("composite_waste").alias("job_count"), round_even(F.avg("composite_waste")).alias("avg_waste"),
-            round_even(F.stddev_samp("composite_waste")).alias("std_waste"), round_even(F.coalesce(F.sum("cpu_hours_wasted"), F.lit(0.0))).alias("total_cpu_hours_wasted"),
+            round_even(F.stddev_samp("composite_waste")).alias("std_waste"), round_even(total("cpu_hours_wasted")).alias("total_cpu_hours_wasted"),
         )
     )
 
@@ -84,7 +89,7 @@ def top_wasting_users(jobs: DataFrame) -> DataFrame:
 
 def top_impact_users(jobs: DataFrame) -> DataFrame:
     """The users with the most wasted core-hours; ties by name."""
-    impact = jobs.where(F.col("job_username").isNotNull()).groupBy("job_username").agg(F.coalesce(F.sum("cpu_hours_wasted"), F.lit(0.0)).alias("total_cpu_hours_wasted"))
+    impact = jobs.where(F.col("job_username").isNotNull()).groupBy("job_username").agg(total("cpu_hours_wasted").alias("total_cpu_hours_wasted"))
     return impact.orderBy(F.desc("total_cpu_hours_wasted"), "job_username").limit(TOP_USERS)
 
 
@@ -111,7 +116,7 @@ def daily(jobs: DataFrame) -> DataFrame:
     """Per UTC day: mean, deviation and count of the composite waste, and wasted core-hours."""
     day = F.to_date("start_time").alias("date")
     return jobs.where(F.col("start_time").isNotNull()).groupBy(day).agg(
-        F.avg("composite_waste").alias("mean"), F.stddev_samp("composite_waste").alias("std"), F.count("composite_waste").alias("count"), F.coalesce(F.sum("cpu_hours_wasted"), F.lit(0.0)).alias("cpu_hours_wasted"),
+        F.avg("composite_waste").alias("mean"), F.stddev_samp("composite_waste").alias("std"), F.count("composite_waste").alias("count"), total("cpu_hours_wasted").alias("cpu_hours_wasted"),
     ).orderBy("date")
 
 

@@ -9,6 +9,11 @@ def _r(expr: str, name: str, digits: int = 6) -> str:
     return f"round_even(({expr}) * 1e{digits}, 0) / 1e{digits} as {name}"
 
 
+def _sum(column: str) -> str:
+    """The sum of a column in whole units of 1e-9, which no order of the rows changes."""
+    return f"sum(round_even({column} * 1e9, 0)::hugeint)::double / 1e9"
+
+
 _QUEUE = "case when o_orderpriority = '1-URGENT' then o_orderpriority || '_S' when o_orderpriority = '2-HIGH' then o_orderpriority || '_C' else o_orderpriority end as queue"
 _CORES = "power(2, o_orderkey % 10)::double as ncores, ceil(power(2, o_orderkey % 10) / 16)::double as nhosts"
 _END = "make_timestamp(epoch_us(o_orderdate) + 1000000 * (case when o_orderkey % 97 = 0 then 0 else floor(o_totalprice * 0.36::double)::bigint end))"
@@ -67,8 +72,8 @@ def _box(key: str) -> str:
  select g as {key}, n as count, {_r('q1', 'q1')}, {_r('q2', 'median')}, {_r('q3', 'q3')}, {_r('min(v) filter (inside)', 'whisker_low')}, {_r('max(v) filter (inside)', 'whisker_high')}, count(*) filter (not inside) as outliers from x group by g, n, q1, q2, q3"""
 
 
-_HOURS, _TOTAL = 8, 2
-_DAILY = """, d as (select start_time::date as date, avg(composite_waste) as mean, stddev_samp(composite_waste) as std, count(composite_waste) as count, sum(cpu_hours_wasted) as cpu_hours_wasted from w group by 1)"""
+_HOURS = 8
+_DAILY = ', d as (select start_time::date as date, avg(composite_waste) as mean, stddev_samp(composite_waste) as std, count(composite_waste) as count, ' + _sum("cpu_hours_wasted") + ' as cpu_hours_wasted from w group by 1)'
 _DAYS = f"date::varchar as date, {_r('mean', 'mean')}, {_r('std', 'std')}, count, {_r('cpu_hours_wasted', 'cpu_hours_wasted', _HOURS)}"
 _CELLS = ", ".join(_r(f"avg(composite_waste) filter (duration_category = '{c}')", n) for c, n in zip(DURATION[1], ("short", "medium", "long", "very_long")))
 _FIRST = ("start_time", "end_time", "job_exitcode", "queue", "job_username")
@@ -105,21 +110,29 @@ ORACLE: dict[str, str] = {
     "waste_category": f"{_WASTE} select jid, waste_category from w",
     "overall_stats": f"{_WASTE} select count(*) as total_jobs, {_r('avg(cpu_waste)', 'cpu_waste_mean')}, {_r('median(cpu_waste)', 'cpu_waste_median')}, {_r('stddev_samp(cpu_waste)', 'cpu_waste_std')}, {_r('avg(mem_waste)', 'mem_waste_mean')}, {_r('avg(composite_waste)', 'composite_waste_mean')} from w",
     "waste_sem": _WASTE + " union all ".join(f"select '{c}' as measure, count({c}) as n, {_r(f'avg({c})', 'mean')}, {_r(f'stddev_samp({c}) / sqrt(count({c}))', 'sem')} from w" for c in ("cpu_waste", "mem_waste", "composite_waste")),
+    # Quantiles of t by the expansion around the normal one, which is exact to all digits shown for over a thousand jobs.
+    "confidence_intervals": _WASTE + ", e as (" + " union all ".join(f"select '{c}' as measure, count({c}) as n, avg({c}) as mean, stddev_samp({c}) / sqrt(count({c})) as sem from w" for c in ("cpu_waste", "mem_waste", "composite_waste")) + f"""),
+ z as (select *, 1.959963984540054::double as z, (n - 1)::double as d from e), q as (select *, z + (z ** 3 + z) / (4 * d) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * d ** 2) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * d ** 3) as q from z)
+ select measure, n, {_r('mean', 'mean')}, {_r('sem', 'sem')}, {_r('mean - q * sem', 'low')}, {_r('mean + q * sem', 'high')} from q""",
     "waste_thresholds": _WASTE + " union all ".join(f"select '>{int(t * 100)}%' as threshold, " + ", ".join(_r(f"100.0::double * count(*) filter ({c} > {t}) / count(*)", f"{c}_pct") for c in ("cpu_waste", "mem_waste", "composite_waste")) + " from w" for t in (0.5, 0.75, 0.9)),
-    "total_waste": f"{_WASTE} select {_r('sum(cpu_hours_wasted)', 'total_cpu_hours_wasted', _TOTAL)}, {_r('avg(cpu_hours_wasted)', 'avg_cpu_hours_wasted_per_job')}, {_r('sum(mem_gb_hours_wasted)', 'total_mem_gb_hours_wasted', _TOTAL)}, {_r('avg(mem_gb_hours_wasted)', 'avg_mem_gb_hours_wasted_per_job')} from w",
+    "total_waste": f"{_WASTE} select {_r(_sum('cpu_hours_wasted'), 'total_cpu_hours_wasted')}, {_r(_sum('cpu_hours_wasted') + ' / count(cpu_hours_wasted)', 'avg_cpu_hours_wasted_per_job')}, {_r(_sum('mem_gb_hours_wasted'), 'total_mem_gb_hours_wasted')}, {_r(_sum('mem_gb_hours_wasted') + ' / count(mem_gb_hours_wasted)', 'avg_mem_gb_hours_wasted_per_job')} from w",
     "by_exitcode": _by("job_exitcode"),
     "by_queue": _by("queue"),
     "by_duration": _dense("duration_category", DURATION[1]),
     "by_size": _dense("size_category", SIZE[1]),
-    "user_waste": f"{_WASTE} select job_username, count(composite_waste) as job_count, {_r('avg(composite_waste)', 'avg_waste', 4)}, {_r('stddev_samp(composite_waste)', 'std_waste', 4)}, {_r('sum(cpu_hours_wasted)', 'total_cpu_hours_wasted', 4)} from w group by 1",
-    "top_wasting_users": f"{_WASTE} select job_username, count(composite_waste) as job_count, {_r('avg(composite_waste)', 'avg_waste', 4)}, {_r('stddev_samp(composite_waste)', 'std_waste', 4)}, {_r('sum(cpu_hours_wasted)', 'total_cpu_hours_wasted', 4)} from w group by 1 having count(composite_waste) >= 5 order by avg_waste desc, job_username limit 20",
-    "top_impact_users": f"{_WASTE} select job_username, {_r('sum(cpu_hours_wasted)', 'total_cpu_hours_wasted', _TOTAL)} from w group by 1 order by sum(cpu_hours_wasted) desc, job_username limit 20",
+    "user_waste": f"{_WASTE} select job_username, count(composite_waste) as job_count, {_r('avg(composite_waste)', 'avg_waste', 4)}, {_r('stddev_samp(composite_waste)', 'std_waste', 4)}, {_r(_sum('cpu_hours_wasted'), 'total_cpu_hours_wasted', 4)} from w group by 1",
+    "top_wasting_users": f"{_WASTE} select job_username, count(composite_waste) as job_count, {_r('avg(composite_waste)', 'avg_waste', 4)}, {_r('stddev_samp(composite_waste)', 'std_waste', 4)}, {_r(_sum('cpu_hours_wasted'), 'total_cpu_hours_wasted', 4)} from w group by 1 having count(composite_waste) >= 5 order by avg_waste desc, job_username limit 20",
+    "top_impact_users": f"{_WASTE} select job_username, {_r(_sum('cpu_hours_wasted'), 'total_cpu_hours_wasted')} from w group by 1 order by {_sum('cpu_hours_wasted')} desc, job_username limit 20",
     "waste_correlations": f"{_WASTE} select {_r('corr(cpu_waste, mem_waste)', 'cpu_mem_correlation')}, {_r('corr(cpu_waste, duration_hours)', 'cpu_duration_correlation')}, {_r('corr(cpu_waste, ncores)', 'cpu_size_correlation')} from w",
-    "anova_exitcode": f"""{_WASTE}, v as (select job_exitcode as g, composite_waste as v from w qualify count(*) over (partition by job_exitcode) > 5), m as (select v.*, avg(v) over (partition by g) as gm, avg(v) over () as am from v)
- select {_r('(sum((gm - am) * (gm - am)) / (count(distinct g) - 1)) / (sum((v - gm) * (v - gm)) / (count(*) - count(distinct g)))', 'f_statistic')}, count(distinct g) - 1 as df_between, count(*) - count(distinct g) as df_within from m having count(distinct g) > 1""",
+    # With three exit codes the tail of F is a power of its argument.
+    "anova_exitcode": f"""{_WASTE}, v as (select job_exitcode as g, composite_waste as v from w qualify count(*) over (partition by job_exitcode) > 5), m as (select v.*, avg(v) over (partition by g) as gm, avg(v) over () as am from v),
+ f as (select (sum((gm - am) * (gm - am)) / (count(distinct g) - 1)) / (sum((v - gm) * (v - gm)) / (count(*) - count(distinct g))) as f, count(distinct g) - 1 as d1, count(*) - count(distinct g) as d2 from m having count(distinct g) > 1)
+ select {_r('f', 'f_statistic')}, d1 as df_between, d2 as df_within, {_r('case when d1 = 2 then power(d2 / (d2 + 2 * f), d2 / 2.0::double) end', 'p_value')} from f""",
+    # The tail of chi-squared as a sum over its density.
     "kruskal_size": f"""{_WASTE}, v as (select size_category as g, composite_waste as v from w where size_category is not null qualify count(*) over (partition by size_category) > 5),
  r as (select g, v, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0::double as rk from v), s as (select sum(h) as h, sum(n)::double as n, count(*) as k from (select count(*) as n, sum(rk) * sum(rk) / count(*) as h from r group by g)),
- t as (select sum(c * c * c - c) as t from (select count(*)::double as c from v group by v)) select {_r('(12 / (n * (n + 1)) * h - 3 * (n + 1)) / (1 - t / (n * n * n - n))', 'h_statistic')}, (k - 1)::bigint as df from s, t where k > 1""",
+ t as (select sum(c * c * c - c) as t from (select count(*)::double as c from v group by v)), h as (select (12 / (n * (n + 1)) * h - 3 * (n + 1)) / (1 - t / (n * n * n - n)) as h, (k - 1)::bigint as df from s, t where k > 1)
+ select {_r('h', 'h_statistic')}, df, {_r('(select sum(0.02 * exp((df / 2.0::double - 1) * ln(h + 0.02 * (i + 0.5::double)) - (h + 0.02 * (i + 0.5::double)) / 2 - df / 2.0::double * ln(2) - lgamma(df / 2.0::double))) from range(10000) r(i))', 'p_value')} from h""",
     "waste_kde": f"""{_WASTE}, e as (select min(composite_waste) as lo, max(composite_waste) as hi, count(*) as n, stddev_samp(composite_waste) * power(count(*), -0.2) as h from w),
  b as (select least(floor((composite_waste - lo) / ((hi - lo) / 2048)), 2047) as bin, count(*) as c from w, e group by 1), g as (select k::integer as k, lo + k * (hi - lo) / 199.0::double as x from e, range(200) t(k))
  select k, {_r('x', 'x')}, {_r('sum(c * exp(-0.5::double * power((x - (lo + (bin + 0.5::double) * (hi - lo) / 2048)) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi()))', 'density')} from g, b, e group by k, x""",
@@ -135,7 +148,7 @@ ORACLE: dict[str, str] = {
     "daily_waste": f"{_WASTE}{_DAILY} select {_DAYS} from d",
     "rolling_waste": f"""{_WASTE}{_DAILY}, m as (select *, case when count(mean) over seven = 7 then avg(mean) over seven end as rm, case when count(std) over seven = 7 then avg(std) over seven end as rs from d window seven as (order by date rows between 3 preceding and 3 following))
  select {_DAYS}, {_r('rm', 'rolling_mean')}, {_r('rs', 'rolling_std')}, {_r('rm - rs', 'band_low')}, {_r('rm + rs', 'band_high')} from m""",
-    "user_heatmap": f"{_WASTE}, top as (select job_username from w group by 1 order by sum(cpu_hours_wasted) desc, job_username limit 20) select job_username, {_CELLS} from w where job_username in (select job_username from top) group by 1",
+    "user_heatmap": f"{_WASTE}, top as (select job_username from w group by 1 order by {_sum('cpu_hours_wasted')} desc, job_username limit 20) select job_username, {_CELLS} from w where job_username in (select job_username from top) group by 1",
     "system_comparison": f"""with {CLEAN}, runs as (select *, unnest(['all', case mark when '_S' then 'stampede' when '_C' then 'conte' else 'anvil' end]) as run, run || '/' || jid::varchar as run_jid from clean){_jobs('runs', 'run_jid', 'jobs')}{_waste()}
- select run as system, count(*) as total_jobs, {_r('avg(cpu_waste)', 'cpu_waste_mean')}, {_r('avg(mem_waste)', 'mem_waste_mean')}, {_r('avg(composite_waste)', 'composite_waste_mean')}, {_r('sum(cpu_hours_wasted)', 'total_cpu_hours_wasted', _TOTAL)} from w group by run""",
+ select run as system, count(*) as total_jobs, {_r('avg(cpu_waste)', 'cpu_waste_mean')}, {_r('avg(mem_waste)', 'mem_waste_mean')}, {_r('avg(composite_waste)', 'composite_waste_mean')}, {_r(_sum('cpu_hours_wasted'), 'total_cpu_hours_wasted')} from w group by run""",
 }

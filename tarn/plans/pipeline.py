@@ -5,6 +5,8 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -69,7 +71,7 @@ def system_comparison(samples: DataFrame, file_name: str = "file_name") -> DataF
     table = waste.with_waste(jobs.job_table(by_system(samples, file_name), ("run",)))
     return table.groupBy(F.col("run").alias("system")).agg(
         F.count("*").alias("total_jobs"), F.avg("cpu_waste").alias("cpu_waste_mean"), F.avg("mem_waste").alias("mem_waste_mean"),
-        F.avg("composite_waste").alias("composite_waste_mean"), F.coalesce(F.sum("cpu_hours_wasted"), F.lit(0.0)).alias("total_cpu_hours_wasted"),
+        F.avg("composite_waste").alias("composite_waste_mean"), summaries.total("cpu_hours_wasted").alias("total_cpu_hours_wasted"),
     )
 
 
@@ -85,34 +87,52 @@ class Pipeline:
     def __post_init__(self):
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
 
-    def samples(self, files: DataFrame) -> DataFrame:
-        paths = [r.path for r in files.select("path").orderBy("path").collect()]
-        if not paths:
-            raise ValueError("no files found")
-        out, self.skipped = telemetry.read_samples(self.spark, paths)
-        return out
+    def _table(self, files: telemetry.Files, probes: list[str], fraction: float | None) -> DataFrame:
+        """The job table with waste. Without a probe that can be read all jobs are kept."""
+        samples, some = files.samples(), None
+        if fraction and fraction < 1:
+            try:
+                some = files.samples(probes)
+            except ValueError:
+                log.warning("no probe can be read: all jobs are analysed")
+        chosen = sampled(samples, some, fraction) if some is not None else samples
+        return waste.with_waste(jobs.job_table(chosen)).persist(StorageLevel.MEMORY_AND_DISK)  # some twenty aggregates read it
 
     def run(self, limit_years: list[int] | None = None, sample_jobs_fraction: float | None = None, test_mode: bool = False, system: str | None = None, name: str | None = None) -> dict:
+        """One analysis. A file that turns out damaged while it is read is skipped whole, and the job table is made again without it."""
         per_day = TEST_FILES_PER_DAY if test_mode else None
         fraction = sample_jobs_fraction or (TEST_FRACTION if test_mode else None)
-        files = discovery.select_files(discovery.discover(self.spark, self.data_dir), limit_years, per_day, system).persist()
-        samples = self.samples(files)
-        probes = self.samples(discovery.stride(files)) if fraction and fraction < 1 else samples
-        chosen = sampled(samples, probes, fraction)
-        table = waste.with_waste(jobs.job_table(chosen)).persist(StorageLevel.MEMORY_AND_DISK)  # some twenty aggregates read it
+        chosen = discovery.select_files(discovery.discover(self.spark, self.data_dir), limit_years, per_day, system).persist()
+        paths = [r.path for r in chosen.select("path").orderBy("path").collect()]
+        if not paths:
+            raise ValueError("no files found")
+        probes, without, table = [r.path for r in discovery.stride(chosen).collect()], set(), None
+        chosen.unpersist()
+        while table is None:
+            files = telemetry.open_files(self.spark, paths, without)
+            self.skipped = sorted(files.skipped)
+            table = self._table(files, probes, fraction)
+            try:
+                n = table.count()
+            except (PySparkException, Py4JJavaError) as e:
+                table.unpersist()
+                table, bad = None, telemetry.unreadable(e)
+                if not bad or bad in without:
+                    raise
+                log.warning("skipped %s: it can't be read", bad)
+                without.add(bad)
         try:
-            if table.isEmpty():
+            if not n:
                 raise ValueError("no data could be processed from the files")
-            stats = statistics(table) | {"hpc_system": system or "all", "files_processed": files.count()}
+            stats = statistics(table) | {"hpc_system": system or "all", "files_processed": len(paths)}
             place = f"{self.output_dir.rstrip('/')}/{name or system or 'all'}"
             sinks.write_plot_data(plots(table), f"{place}/plots")
             sinks.write_jobs(table, f"{place}/job_data_with_waste_metrics.csv.gz")
             sinks.write_summary(self.spark, stats, f"{place}/summary_statistics.json")
-            log.info(report.key_findings(stats))
+            print(report.key_findings(stats))
             return stats
         finally:
             table.unpersist()
-            files.unpersist()
 
     def run_system(self, system: str) -> dict:
         return self.run(sample_jobs_fraction=SYSTEM_FRACTION, system=system)
@@ -126,6 +146,6 @@ class Pipeline:
             except ValueError as e:
                 log.warning("%s: %s", system, e)
                 continue
-            out.append({"system": system, **{k: s["overall"][k] for k in ("total_jobs", "cpu_waste_mean", "mem_waste_mean", "composite_waste_mean")}, "total_cpu_hours_wasted": s["total_waste"]["total_cpu_hours_wasted"]})
-        log.info(report.comparison(out))
+            out.append({"system": system, "files_processed": s["files_processed"], **{k: s["overall"][k] for k in ("total_jobs", "cpu_waste_mean", "mem_waste_mean", "composite_waste_mean")}, "total_cpu_hours_wasted": s["total_waste"]["total_cpu_hours_wasted"]})
+        print(report.comparison(out))
         return out

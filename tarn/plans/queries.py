@@ -13,9 +13,9 @@ from tarn.plans import fixtures, pipeline
 from tarn.sources import discovery
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Columns rounded to other than six digits: large totals to fewer; means and products of decimals to more, so that none lies half way.
+#: Columns rounded to other than six digits: means and products of decimals to more, so that none lies half way.
 DIGITS = {
-    "total_cpu_hours_wasted": 2, "total_mem_gb_hours_wasted": 2, "cpu_hours_wasted": 8, "mem_gb_hours_wasted": 8,
+    "cpu_hours_wasted": 8, "mem_gb_hours_wasted": 8,
     **{f"{c}{s}": 9 for c in ("job_cpu_usage", "value_memused") for s in ("", "_mean")},
 }
 FRACTION = 0.1

@@ -77,6 +77,14 @@ def test_groups_of_five_are_too_small(spark):
 def test_kruskal_ties(spark):
     same = job_frame(spark, [(f"{g}{k}", 0.5, g) for g in "ab" for k in range(6)]).withColumn("size_category", F.col("g"))
     assert inference.kruskal_test(same) == {"h_statistic": None, "p_value": None}
+    mixed = [(0.1, "a"), (0.1, "b"), (0.2, "a"), (0.2, "a"), (0.3, "b"), (0.0, "a"), (0.0, "b"), (-0.5, "a"), (7.0, "b"), (7.0, "b"), (0.3, "b"), (9.0, "a"), (8.0, "tiny")]
+    tied = job_frame(spark, [(str(k), v, g) for k, (v, g) in enumerate(mixed)]).withColumn("size_category", F.col("g"))
+    vs = sorted(v for v, g in mixed if g != "tiny")
+    rank = {v: vs.index(v) + (vs.count(v) + 1) / 2 for v in vs}
+    by = {g: [rank[v] for v, x in mixed if x == g] for g in "ab"}
+    n = len(vs)
+    h = (12 / (n * (n + 1)) * sum(sum(r) ** 2 / len(r) for r in by.values()) - 3 * (n + 1)) / (1 - sum(vs.count(v) ** 3 - vs.count(v) for v in set(vs)) / (n**3 - n))
+    assert inference.kruskal_test(tied)["h_statistic"] == pytest.approx(h)
     apart = job_frame(spark, [(f"{g}{k}", 0.1 * k + (g == "b"), g) for g in "ab" for k in range(6)]).withColumn("size_category", F.col("g"))
     assert inference.kruskal_test(apart)["h_statistic"] == pytest.approx(8.307692307692307)  # ranks 1-6 and 7-12 without ties
 
@@ -193,9 +201,71 @@ def test_reading_a_tree(spark, tree):
         telemetry.read_samples(spark, [p for p in paths if "broken" in p])
 
 
-def test_whole_run(spark, tree, tmp_path):
+def damage(path):
+    """Overwrite the data pages of a file, but not its footer."""
+    import pyarrow.parquet as pq
+
+    column = pq.ParquetFile(path).metadata.row_group(0).column(11)
+    with open(path, "r+b") as f:
+        f.seek(column.data_page_offset)
+        f.write(b"\xff" * min(24, column.total_compressed_size))
+
+
+def test_damaged_file_is_skipped_whole(spark, tree, tmp_path):
+    damage(f"{tree}/2023/01/01/c_C.parquet")
+    run = pipeline.Pipeline(spark, tree, f"{tmp_path}/out")
+    assert run.run()["overall"]["total_jobs"] == 2
+    assert sorted(os.path.basename(p) for p in run.skipped) == ["broken.parquet", "c_C.parquet", "short.parquet"]
+    files = telemetry.open_files(spark, discovery.list_paths(spark, tree))
+    with pytest.raises(Exception) as failed:
+        files.samples().collect()
+    assert telemetry.unreadable(failed.value).endswith("c_C.parquet")
+
+
+def test_unreadable_probes_keep_all_jobs(spark, tree, tmp_path, monkeypatch):
+    monkeypatch.setattr(discovery, "stride", lambda files: files.where("file_name = 'broken.parquet'"))
+    run = pipeline.Pipeline(spark, tree, f"{tmp_path}/out")
+    assert run.run(sample_jobs_fraction=0.5)["overall"]["total_jobs"] == 3 and len(run.skipped) == 2
+
+
+def test_files_are_read_without_joins(spark, tree):
+    """One scan per schema and layout; files of both layouts under one schema are two groups."""
+    write_file(tree, "2013/01/01/d.parquet", [new("9", "12")])  # the schema of a_S.parquet in the other layout
+    files = telemetry.open_files(spark, [p for p in discovery.list_paths(spark, tree) if "poisoned" not in p])
+    assert sorted((len(p), legacy) for p, legacy in files.groups) == [(1, False), (1, False), (1, False), (1, True)]
+    plan = files.samples()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 8 and "LeftAnti" in plan and "Inner" not in plan  # a second scan each looks for bad times
+
+
+def test_numeric_times_are_nanoseconds(spark):
+    rows = [(1_700_000_000_123_456_789, 1.7e18, "2023-11-14 22:13:20"), (-1, float("nan"), None), (None, float("inf"), None)]
+    df = spark.createDataFrame([("f", *r) for r in rows], "file_id string, time long, start_time double, end_time string")
+    out = [(r.a, r.b) for r in cleaning.cast_timestamps(df).selectExpr("unix_micros(time) as a", "unix_micros(start_time) as b").collect()]
+    assert out == [(1_700_000_000_123_456, 1_700_000_000_000_000), (-1, None), (None, None)]
+
+
+def test_sums_do_not_depend_on_order(spark):
+    from tarn.functions.numeric import exact_sum
+
+    rows = [0.1, 0.2, 0.3, 1e12, -1e12, 7651.80665]
+    both = [spark.createDataFrame([(x,) for x in order], "x double").coalesce(1).agg(exact_sum(F.col("x")).alias("v")).first().v for order in (rows, rows[::-1])]
+    assert both[0] == both[1] == 7652.40665
+    assert spark.createDataFrame([(math.inf,), (1.0,)], "x double").agg(exact_sum(F.col("x")).alias("v")).first().v == math.inf
+    assert spark.createDataFrame([(None,)], "x double").agg(exact_sum(F.col("x")).alias("v")).first().v is None
+
+
+def test_cells_rise_with_values(spark):
+    from tarn.operators import ranks
+
+    points = sorted([0.0, -0.0, 1e-300, 0.1, 0.5, 0.5000001, 1.0, 2.0, 1e300, math.inf, -math.inf, -1.0, -0.1, -1e-9, -1e300])
+    found = values(spark.createDataFrame([(p,) for p in points], "x double").coalesce(1).select(ranks.cell(F.col("x")).alias("v")))
+    assert found == sorted(found) and len(set(found)) == len(points) - 2  # both zeros, and both close to a half
+
+
+def test_whole_run(spark, tree, tmp_path, capsys):
     run = pipeline.Pipeline(spark, tree, f"{tmp_path}/out")
     stats = run.run()
+    assert "jobs" in capsys.readouterr().out
     assert stats["overall"]["total_jobs"] == 3 and stats["files_processed"] == 6 and len(run.skipped) == 2
     assert spark.read.option("header", True).csv(f"{tmp_path}/out/all/job_data_with_waste_metrics.csv.gz").columns[-1] == "date"
     assert os.path.exists(f"{tmp_path}/out/all/summary_statistics.json")
