@@ -1,12 +1,15 @@
 """WARC archives as a table of chunks.
 
-A record (header block and payload) is a byte stream; the archive keeps it as rows (record_id, chunk_no, data) of at most CHUNK bytes. Each row carries
-the SHA-1 of the payload up to its end, so a reader checks a record as it goes and never holds more than a chunk of it. Records of
+A record (header block and payload) is a byte stream; the archive keeps it as rows (record_id, chunk_no, data) with at most CHUNK bytes of payload. Each row carries
+the SHA-1 of the payload up to its end, so a reader checks a record as it goes and never holds more than a chunk of it. The writer cuts a payload where
+it is read, out of the batch that holds it, with running digests; from there on only chunks move, compressed one by one. Records of
 one chunk are read where they lie; only the others are dealt out by record and put in order.
 
 Of equal payloads of at least REVISIT bytes, that with the largest page_id is a response and the others are revisits of it, without payload;
 smaller payloads are all responses. Equal means equal SHA-256 and length. Rows that share the largest page_id are all responses.
-A null page_id is below all others; a null html is an empty payload, a null url an empty target. An empty table gives an empty archive.
+A revisit names the record that it refers to (WARC-Refers-To; of several with one page_id, that with the smallest record id) and its page.
+A null page_id is below all others; a null html is an empty payload, a null url an empty target. Very long payloads are more chunks. Other columns are not read. An empty
+table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -27,81 +30,122 @@ CHUNK, REVISIT = 64 << 10, 1000
 RECORDS = "record_id string, page_id long, chunk_no int, last boolean, payload_sha1 binary, data binary"
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_PACKED = "page_id long, digest binary, size long, url string, blob binary"
+TAIL = b"\r\n\r\n"
+LOWEST = -(1 << 63)  # stands for a null page_id
+_PIECES = "record_id string, page_id long, digest binary, sha1 binary, size long, url string, chunk_no int, last boolean, payload_sha1 binary, piece binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch], page_id: str, url: str, html: str) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
+def pieces(payload: memoryview, size: int = CHUNK) -> Iterator[tuple[int, bool, bytes, memoryview]]:
+    """(number, last, SHA-1 of the payload so far, bytes) of a payload; an empty one is one empty piece."""
+    running, stops = hashlib.sha1(), range(0, max(len(payload), 1), size)
+    for number, at in enumerate(stops):
+        part = payload[at : at + size]
+        running.update(part)
+        yield number, number == len(stops) - 1, running.digest(), part
+
+
+def _name(digest: bytes, page: int | None, serial: int) -> str:
+    """The id of a record: of its content and page, and of its place, as rows may repeat."""
+    from pyspark import TaskContext
+
+    place = TaskContext.get().partitionId() if TaskContext.get() else 0
+    return str(uuid.UUID(bytes=hashlib.sha256(digest + f"{page}:{place}:{serial}".encode()).digest()[:16]))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], page_id: str, url: str, html: str) -> Iterator[pa.RecordBatch]:
+    """The pieces of all payloads. A payload is read twice where it lies, once for its digests and once to be cut, and is never copied whole."""
+    serial, pack, rows, held = 0, zstandard.ZstdCompressor(level=1), [], 0
     for part in base.passes(batches, html):
-        texts = [(x or "").encode() for x in part.column(html).to_pylist()]
-        yield base.record(
-            _PACKED, page_id=part.column(page_id), digest=[hashlib.sha256(t).digest() for t in texts], size=[len(t) for t in texts],
-            url=part.column(url), blob=[pack.compress(t) for t in texts],
-        )
+        data, offs = base.text_bytes(part.column(html))
+        whole = memoryview(data)
+        for k, (page, target) in enumerate(zip(part.column(page_id).to_pylist(), part.column(url).to_pylist())):
+            payload = whole[offs[k] : offs[k + 1]]
+            digest, sha1 = hashlib.sha256(payload).digest(), hashlib.sha1(payload).digest()
+            name = _name(digest, page, serial)
+            serial += 1
+            for number, last, running, piece in pieces(payload):
+                rows.append((name, page, digest, sha1, len(payload), target, number, last, running, packed := pack.compress(piece)))
+                held += len(packed) + 300
+                if held > base.PASS_BYTES:
+                    yield base.record(_PIECES, **dict(zip("abcdefghij", zip(*rows))))
+                    rows, held = [], 0
+    if rows:
+        yield base.record(_PIECES, **dict(zip("abcdefghij", zip(*rows))))
 
 
-def head(kind: str, record_id: str, page: int | None, url: str | None, size: int, sha1: bytes, refers: int | None) -> bytes:
+def head(kind: str, record_id: str, page: int | None, url: str | None, size: int, sha1: bytes, refers: tuple[int, str] | None) -> bytes:
     target = "".join(c for c in url or "" if c not in "\r\n")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {target}"]
     lines += ["Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}", f"X-Payload-Length: {size}"]
     lines += [f"X-Page-Id: {page}"] * (page is not None)
-    if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers}"]
+    if refers:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{refers[1]}>", f"X-Refers-To-Page-Id: {refers[0]}"]
     length = len(HTTP) + (size if kind == "response" else 0)
     return ("\r\n".join([*lines, f"Content-Length: {length}"]) + "\r\n\r\n").encode() + HTTP
 
 
-def chunks(record: bytes, payload: memoryview, tail: bytes = b"\r\n\r\n", size: int = CHUNK) -> Iterator[tuple[int, bool, bytes, bytes]]:
-    """(number, last, SHA-1 of the payload so far, data) of a record's stream: header, payload, tail."""
-    digest, at, number, end = hashlib.sha1(), 0, 0, len(payload)
-    lead = record
-    while True:
-        take = min(max(size - len(lead), 0), end - at)
-        part = payload[at : at + take]
-        digest.update(part)
-        at += take
-        data = lead + bytes(part)
-        lead = b""
-        last = at == end and len(data) + len(tail) <= size
-        yield number, last, digest.digest(), data + tail if last else data
-        if last:
-            return
-        number += 1
-
-
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _out(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of the archive in batches of a bounded size."""
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += len(row[-1])
+        if held > base.PASS_BYTES:
+            yield base.record(RECORDS, **dict(zip("abcdef", zip(*some))))
+            some, held = [], 0
+    if some:
+        yield base.record(RECORDS, **dict(zip("abcdef", zip(*some))))
 
-    place, n, unpack = TaskContext.get().partitionId() if TaskContext.get() else 0, 0, zstandard.ZstdDecompressor()
-    rows, held = [], 0
+
+def _lists(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     for batch in batches:
-        for page, digest, size, url, blob, refers, found in zip(*(batch.column(c).to_pylist() for c in ("page_id", "digest", "size", "url", "blob", "refers_to", "revisits"))):
-            payload = unpack.decompress(blob)
-            name = str(uuid.UUID(bytes=hashlib.sha256(digest + f"{page}:{place}:{n}".encode()).digest()[:16]))
-            n += 1
-            record = head("revisit" if found else "response", name, page, url, size, hashlib.sha1(payload).digest(), refers)
-            for number, last, sha1, data in chunks(record, memoryview(b"" if found else payload)):
-                rows.append((name, page, number, last, sha1, data))
-                held += len(data)
-                if held > base.PASS_BYTES:
-                    yield base.record(RECORDS, **dict(zip("abcdef", zip(*rows))))
-                    rows, held = [], 0
-    if rows:
-        yield base.record(RECORDS, **dict(zip("abcdef", zip(*rows))))
+        yield from zip(*(batch.column(c).to_pylist() for c in columns))
+
+
+def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+
+    def rows() -> Iterator[tuple]:
+        for name, page, sha1, size, url, number, last, running, piece in _lists(batches, "record_id", "page_id", "sha1", "size", "url", "chunk_no", "last", "payload_sha1", "piece"):
+            lead = b"" if number else head("response", name, page, url, size, sha1, None)
+            yield name, page, number, last, running, lead + unpack.decompress(piece) + (TAIL if last else b"")
+
+    return _out(rows())
+
+
+def _revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    nothing = hashlib.sha1(b"").digest()
+
+    def rows() -> Iterator[tuple]:
+        for serial, (page, digest, sha1, size, url, latest, response) in enumerate(_lists(batches, "page_id", "digest", "sha1", "size", "url", "latest", "response")):
+            name = _name(b"revisit" + digest, page, serial)
+            yield name, page, 0, True, nothing, head("revisit", name, page, url, size, sha1, (latest, response)) + TAIL
+
+    return _out(rows())
 
 
 def write_archive(df: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """One record per row, into the chunk table at `path`."""
-    base.prepare(df.sparkSession)
-    pages = df.select(*[df[c].alias(c) for c in (page_id, url, html)]).mapInArrow(lambda b: _pack(b, page_id, url, html), _PACKED)
-    low = F.lit(-(1 << 63))
-    known = df.select(F.coalesce(df[page_id], low).alias("id"), F.sha2(F.coalesce(df[html], F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce(df[html], F.lit(""))).alias("size")).where(F.col("size") >= REVISIT)
-    latest = known.groupBy("digest", "size").agg(F.max("id").alias("latest"), F.min("id").alias("least"), F.count("*").alias("n")).where("least < latest").drop("least")
+    """One record per row, into the chunk table at `path`: first the responses, then the revisits, which name records of the first."""
+    spark = df.sparkSession
+    base.prepare(spark)
+    scratch = base.Scratch(spark, "warc-digests")
+    write = lambda rows: rows.write.mode("append").option("compression", "zstd").parquet(path)
+    text = F.coalesce(df[html], F.lit(""))
+    known = df.select(df[page_id].alias("page_id"), df[url].alias("url"), F.unhex(F.sha2(text, 256)).alias("digest"), F.unhex(F.sha1(text)).alias("sha1"), F.octet_length(text).cast("long").alias("size"))
+    known = scratch.keep(known.where(F.col("size") >= REVISIT).withColumn("id", F.coalesce("page_id", F.lit(LOWEST))), "known")  # no payloads, and read three times
+    latest = known.groupBy("digest", "size").agg(F.max("id").alias("latest"), F.min("id").alias("least"), F.min("sha1").alias("sha1"), F.count("*").alias("n")).where("least < latest")
+    latest = scratch.keep(latest.drop("least"), "latest")
+    keys = ["digest", "size"]
     # Revisits by page and digest, so that rows of one page with other payloads are told apart.
-    revisits = base.join_back(known, latest, ["digest", "size"], "id").where("id < latest").select(F.col("id").alias("_id"), F.unhex("digest").alias("_digest"), "latest").distinct()
-    joined = pages.withColumn("id", F.coalesce("page_id", low)).join(revisits, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    out = joined.select(*[c.split()[0] for c in _PACKED.split(", ")], F.col("latest").alias("refers_to"), F.col("latest").isNotNull().alias("revisits")).mapInArrow(_records, RECORDS)
-    out.write.option("compression", "zstd").parquet(path)
+    again = base.join_back(known.drop("sha1"), latest, keys, "id").where("id < latest").select("id", "digest").distinct()
+
+    cut = df.select(*[df[c].alias(c) for c in (page_id, url, html)]).mapInArrow(lambda b: _cut(b, page_id, url, html), _PIECES).withColumn("id", F.coalesce("page_id", F.lit(LOWEST)))
+    write(cut.join(again, ["id", "digest"], "left_anti").mapInArrow(_responses, RECORDS))
+
+    responses = spark.read.schema(RECORDS).parquet(path).where("last and page_id is not null").groupBy(F.col("page_id").alias("latest"), F.col("payload_sha1").alias("sha1")).agg(F.min("record_id").alias("response"))
+    named = latest.join(responses, ["latest", "sha1"]).drop("sha1")
+    write(base.join_back(known, named, keys, "id").where("id < latest").mapInArrow(_revisits, RECORDS))
+    scratch.drop(known, latest)
 
 
 def parse_head(data: bytes) -> tuple[dict[str, str], int]:
@@ -177,7 +221,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archived(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write the rows as an archive in the shared folder, and read it back."""
-    path = f"{base.shared_dir(df.sparkSession)}/warc-{uuid.uuid4().hex}"
+    """Write the rows as an archive in the shared folder, and read it back. The archive goes when the application ends."""
+    path = base.Scratch(df.sparkSession, "warc").root
     write_archive(df, path, page_id, url, html)
     return read_archive(df.sparkSession, path)
