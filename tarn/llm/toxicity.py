@@ -1,21 +1,24 @@
 """Toxicity by a learned lexicon, misspellings included, in context.
 
-Fitting: from a bounded sample of labelled rows, words that occur in far more toxic than other texts become the lexicon, each with its log-odds;
-a logistic regression then weighs a text's hits. Scoring: a trie of the lexicon is walked by the Levenshtein automaton of each unseen word
-(a bit-parallel one), which finds the terms within MAX_EDITS edits. A hit counts less if its context shows a quotation:
-quotation marks around it or a word of speech before it.
-
-Only rows whose crc32(doc_id as text) modulo 3 is not 1 are learned from, at most SAMPLE rows of a class (those with the smallest hashes of their ids);
-labels, language, source and doc_id are no inputs of a score. The model is a few hundred terms, whatever the corpus.
-
-A null text counts as empty; an empty text has no hits and gets the score of one. Rows labelled twice are toxic if either label says so. Without
-labels of both classes there is no lexicon and every score is the share of toxic labels. A null doc_id is not held out.
+Fitting: from a bounded sample of labelled rows, words that occur in far more toxic than other texts become the lexicon, each with its log-odds; texts that have a word between the
+same neighbours count once, so that copies of a text make no lexicon of their own. A logistic regression then weighs a text's hits. Scoring: the Levenshtein automata of all unseen words of a batch (bit-parallel ones, a machine word of states for each number of
+edits) walk a trie of the lexicon together; a word leaves the walk where its automaton has no state left. Two swapped letters are one edit. Words that a symbol
+parts, as in "id!ot", are tried as one word too. A hit counts less if its context shows a quotation: quotation marks around it or a word of speech before it.
+
+Only rows whose crc32(doc_id as text) modulo 3 is not 1 are learned from, at most SAMPLE ids of a class (those with the smallest hashes);
+labels, language, source and doc_id are no inputs of a score. The lexicon has all words that pass its tests in the sample, so its size is bounded by the sample.
+
+A null text counts as empty; an empty text has no hits and gets the score of one. Very long texts are read whole; words of over LONGEST letters are only
+compared exactly. Equal texts get equal scores. Rows labelled twice are toxic if either label says so; of several texts under one labelled id the smallest is learned from. Without
+labels of both classes there is no lexicon and every score is the share of toxic labels. A null doc_id is not held out. Of several terms as near the longest counts, then the first.
+Other columns are not read, or kept as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,81 +30,98 @@ from pyspark.sql import functions as F
 from tarn.llm import base
 
 SCHEMA = "doc_id long, score double, n_hits long, n_quoted long"
-#: Labelled rows that a model is fitted on, at most, of the classes 0 and 1; terms of the lexicon, at most.
-SAMPLE, TERMS = (12_000, 4_000), 400
+#: Labelled ids that a model is fitted on, at most, of the classes 0 and 1.
+SAMPLE = (12_000, 4_000)
 #: What a term needs: its texts among the toxic ones, and the log-likelihood ratio of its counts.
 LEAST_TEXTS, LEAST_RATIO = 3, 20.0
-MAX_EDITS, LEAST_LETTERS = 1, 5
+#: Letters from which a term is found with one edit, and with two; letters of the longest word that an automaton is made of.
+ONE_EDIT, TWO_EDITS, LONGEST = 4, 9, 60
 THRESHOLD, CONTEXT, QUOTED = 0.7, 6, 0.35
-CACHE = 250_000
+CACHE, BATCH = 250_000, 20_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+#: Symbols that stand for a letter.
+_MASKS = np.zeros(256, bool)
+_MASKS[list(b"!@$*#+-.|")] = True
 SPEECH = frozenset(b"said says quote quoted quotes called wrote term word phrase sagte schrieb zitat dit citation dijo cita".split())
 _QUOTE = re.compile('["“”«»„]'.encode())
 
 
+def edits(letters: int) -> int:
+    """How many edits a term of so many letters is found with."""
+    return 0 if letters < ONE_EDIT or letters > LONGEST - 2 else 1 if letters < TWO_EDITS else 2
+
+
 class Lexicon:
-    """A trie of terms; near(word) intersects it with the Levenshtein automaton of the word."""
+    """A trie of terms; near(words) walks it with the Levenshtein automata of the words."""
 
-    def __init__(self, terms: list[str], edits: int = MAX_EDITS):
-        self.terms, self.edits = {t: k for k, t in enumerate(terms)}, edits
+    def __init__(self, terms: list[str]):
+        self.terms = {t: k for k, t in enumerate(terms)}
         self.next: list[dict[str, int]] = [{}]
-        self.term = [-1]
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        self.variants: set[str] = set()  # terms, whole and without one letter: a word one edit away is one of them, or is so without one letter
+        self.term, self.most = [-1], [0]  # the term that ends at a node, and the edits that any term below it allows
         for k, t in enumerate(terms):
-            v = 0
+            v, e = 0, edits(len(t))
+            if not e:
+                continue  # found by its spelling alone
+            self.most[0] = max(self.most[0], e)
             for c in t:
                 if c not in self.next[v]:
                     self.next[v][c] = len(self.next)
                     self.next.append({})
                     self.term.append(-1)
+                    self.most.append(0)
                 v = self.next[v][c]
+                self.most[v] = max(self.most[v], e)
             self.term[v] = k
-            if len(t) >= LEAST_LETTERS:  # one edit leaves one half of a term as it is
-                half = len(t) // 2
-                self.heads.setdefault(half, set()).add(t[:half])
-                self.tails.setdefault(len(t) - half, set()).add(t[half:])
-                self.variants |= {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}
-
-    def near(self, word: str) -> tuple[int, int] | None:
-        """The term with the fewest edits from the word, and their number; the longest of several, then the first."""
-        if word in self.terms:
-            return self.terms[word], 0
-        if len(word) < LEAST_LETTERS - self.edits or not self.edits:
-            return None
-        if self.edits == 1:  # cheap tests that no near word fails
-            if not (any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())):
-                return None
-            if word not in self.variants and not any(word[:i] + word[i + 1 :] in self.variants for i in range(len(word))):
-                return None
-        masks: dict[str, int] = {}
-        for i, c in enumerate(word):
-            masks[c] = masks.get(c, 0) | 1 << i + 1
-        final, k = 1 << len(word), self.edits
+
+    def near(self, words: list[str]) -> list[tuple[int, int] | None]:
+        """Of each word the term with the fewest edits, and their number; the longest of several, then the first."""
+        out: list[tuple[int, int] | None] = [(self.terms[w], 0) if w in self.terms else None for w in words]
+        rest = [k for k, w in enumerate(words) if out[k] is None and ONE_EDIT - 1 <= len(w) <= LONGEST]
+        for at in range(0, len(rest), BATCH):
+            some = rest[at : at + BATCH]
+            for k, best in zip(some, self._walk([words[k] for k in some])):
+                out[k] = best
+        return out
+
+    def _walk(self, words: list[str]) -> list[tuple[int, int] | None]:
+        n, one = len(words), np.uint64(1)
+        size = np.array([len(w) for w in words], np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(n), size)
+        bits = one << (np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size) + 1).astype(np.uint64)
+        masks: dict[str, np.ndarray] = {}  # bit i: letter i, from 1, is this one
+        for c in {c for children in self.next for c in children}:
+            masks[c], here = np.zeros(n, np.uint64), points == ord(c)
+            np.bitwise_or.at(masks[c], owner[here], bits[here])
+        final = one << size.astype(np.uint64)
+        inside = (final << one) - one
+        best = np.full(n, 1 << 62, np.int64)  # edits, then letters from the longest, then the term
         # Bit i of rows[e]: the first i letters of the word are matched by the path so far with e edits.
-        start = [((1 << e + 1) - 1) & ((final << 1) - 1) for e in range(k + 1)]
-        best: tuple[int, int, int] | None = None
-        stack = [(0, start, 0)]
+        start = [np.uint64((1 << e + 1) - 1) & inside for e in range(self.most[0] + 1)]
+        stack = [(0, np.arange(n), start, None, "", 0)]
         while stack:
-            v, rows, depth = stack.pop()
-            if self.term[v] >= 0 and depth >= LEAST_LETTERS:
-                for e, r in enumerate(rows):
-                    if r & final:
-                        found = (e, -depth, self.term[v])
-                        best = found if best is None or found < best else best
-                        break
+            v, who, rows, before, last, depth = stack.pop()
             for c, child in self.next[v].items():
-                m = masks.get(c, 0)
-                after = [rows[0] << 1 & m]
-                for e in range(1, k + 1):  # match, insertion, substitution, deletion
-                    after.append((rows[e] << 1 & m) | rows[e - 1] | rows[e - 1] << 1 | after[e - 1] << 1)
-                after = [r & ((final << 1) - 1) for r in after]
-                if any(after):
-                    stack.append((child, after, depth + 1))
-        return best and (best[2], best[0])
+                m, bound = masks[c][who], inside[who]
+                after = [(rows[0] << one) & m]
+                for e in range(1, self.most[child] + 1):  # match, insertion, substitution, deletion, swap
+                    now = ((rows[e] << one) & m) | rows[e - 1] | (rows[e - 1] << one) | (after[e - 1] << one)
+                    if before is not None:
+                        now |= (before[e - 1] << np.uint64(2)) & masks[last][who] & (m << one)
+                    after.append(now & bound)
+                alive = after[-1] != 0  # a state with fewer edits is one with more, too
+                if not alive.any():
+                    continue
+                on, left = who[alive], [r[alive] for r in after]
+                if (k := self.term[child]) >= 0:
+                    for e in range(edits(depth + 1), -1, -1):
+                        hit = on[left[e] & final[on] != 0]
+                        best[hit] = np.minimum(best[hit], (e << 40) + (LONGEST - depth << 32) + k)
+                if self.next[child]:
+                    stack.append((child, on, left, [r[alive] for r in rows], c, depth + 1))
+        return [None if b == 1 << 62 else (b & 0xFFFFFFFF, b >> 40) for b in best.tolist()]
 
 
 @dataclass
@@ -135,18 +155,26 @@ def _text_words(texts: pa.Array) -> base.Words:
     return base.Words(*base.text_bytes(pa.array([(x or "").lower() for x in texts.to_pylist()], pa.large_string())), _WORD)
 
 
+def _masked(words: base.Words, docs: np.ndarray, raw: bytes) -> dict[int, bytes]:
+    """Of words that one symbol parts from the next: their number and both as one word."""
+    gap = words.starts[1:] - words.ends[:-1] == 1
+    at = np.flatnonzero(gap & _MASKS[words.data[words.ends[:-1]]] & (docs[1:] == docs[:-1])) if len(words) > 1 else np.zeros(0, np.int64)
+    return {int(i): raw[words.starts[i] : words.ends[i + 1]] for i in at.tolist()}
+
+
 def hits(words: base.Words, model: Model) -> list[tuple[int, int, int, bool]]:
     """(word, term, edits, quoted) of every hit of a batch."""
     lexicon, known = _known(tuple(model.terms))
     strings = words.strings()
     if len(known) > CACHE:
         known.clear()
-    for w in set(strings).difference(known):
-        known[w] = lexicon.near(w.decode())
+    docs, raw = words.docs(), words.data.tobytes()
+    joined = _masked(words, docs, raw)
+    if unseen := list({*strings, *joined.values()}.difference(known)):
+        known.update(zip(unseen, lexicon.near([w.decode() for w in unseen])))
     found = [(i, known[w]) for i, w in enumerate(strings) if known[w] is not None]
-    if not found:
-        return []
-    docs, raw, out = words.docs(), words.data.tobytes(), []
+    found += [(i, known[w]) for i, w in joined.items() if known[w] is not None and known[strings[i]] is None and known[strings[i + 1]] is None]
+    out = []
     for i, (term, edits) in found:
         a, b = int(words.first[docs[i]]), int(words.first[docs[i] + 1])
         low, high = max(a, i - CONTEXT), min(b, i + CONTEXT + 1)
@@ -204,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """A model from at most SAMPLE texts of the classes."""
     spark = docs.sparkSession
     base.prepare(spark)
-    base.shared_dir(spark)
+    scratch = base.Scratch(spark, "toxicity")
     rows = training_labels(labels)
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = [sizes.get(0, 0), sizes.get(1, 0)]
@@ -215,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return model
     chosen = [rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[k]) for k in (0, 1)]
     sample = chosen[0].union(chosen[1])  # at most sum(SAMPLE) narrow rows, so it may be broadcast
-    texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").checkpoint()
+    texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = scratch.keep(texts.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "toxic"), "texts")  # a text for each id
     n = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     t_all, c_all = n.get(1, 0), n.get(0, 0)
     if not t_all or not c_all:
@@ -225,25 +254,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.passes(batches, "text"):
             words = _text_words(part.column("text"))
-            strings, toxic = words.strings(), part.column("toxic").to_pylist()
-            pairs = [(w, y) for a, b, y in zip(words.first, words.first[1:], toxic) for w in set(strings[a:b])]
-            yield base.record("word string, toxic int", word=[w.decode() for w, _ in pairs], toxic=[y for _, y in pairs])
-
-    counts = texts.mapInArrow(distinct_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).select("word", "t", (F.col("n") - F.col("t")).alias("c")).checkpoint()
+            strings, toxic, rows = words.strings(), part.column("toxic").to_pylist(), []
+            for a, b, y in zip(words.first.tolist(), words.first[1:].tolist(), toxic):
+                once = dict(zip(reversed(strings[a:b]), range(b - 1, a - 1, -1)))  # the first place of each word
+                rows += [(w, y, zlib.crc32(b" ".join(strings[max(a, i - 1) : min(b, i + 2)]))) for w, i in once.items()]
+            yield base.record("word string, toxic int, around long", **dict(zip("abc", zip(*rows)))) if rows else base.record("word string, toxic int, around long", a=[], b=[], c=[])
+
+    # Of texts that have a word between the same neighbours, as copies have, only one counts.
+    seen = texts.mapInArrow(distinct_words, "word string, toxic int, around long").distinct()
+    counts = scratch.keep(seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).select("word", "t", (F.col("n") - F.col("t")).alias("c")), "counts")
     one = F.lit(1.0)
     t, c = F.col("t"), F.col("c")
     ratio = 2 * (t * F.log(F.greatest(t, one * 0.5) * (t_all + c_all) / (t_all * (t + c))) + c * F.log(F.greatest(c, one * 0.5) * (t_all + c_all) / (c_all * (t + c))))
     odds = F.log((t + 0.5) / (t_all + 1.0)) - F.log((c + 0.5) / (c_all + 1.0))
     best = counts.where((t >= LEAST_TEXTS) & (F.length("word") >= 3)).select("word", ratio.alias("ratio"), odds.alias("odds")).where((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") > 1))
-    terms = best.orderBy(F.desc("ratio"), "word").limit(TERMS).collect()
+    terms = best.orderBy(F.desc("ratio"), "word").collect()  # each is in LEAST_TEXTS toxic texts of the sample
     model.terms, model.exact = [r.word for r in terms], [r.odds for r in terms]
 
-    # What words one edit away have been worth, term by term: their texts in the sample.
+    # What words a few edits away have been worth, term by term: their texts in the sample.
     names = tuple(model.terms)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(near[0], t, c) for w, t, c in zip(*(b.column(k).to_pylist() for k in ("word", "t", "c"))) if (near := _lexicon(names).near(w)) and near[1]]
+            words, t, c = (b.column(k).to_pylist() for k in ("word", "t", "c"))
+            found = [(near[0], x, y) for near, x, y in zip(_lexicon(names).near(words), t, c) if near and near[1]]
             if found:
                 yield base.record("term int, t long, c long", **dict(zip("abc", zip(*found))))
 
@@ -260,6 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     y = np.array([r.toxic for r in got], float)
     weight = np.where(y == 1, total[1] / t_all, total[0] / c_all)
     model.weights = _regression(np.array([r.x for r in got], float), y, weight * len(y) / weight.sum())
+    scratch.drop(texts, counts)
     return model
 
 
