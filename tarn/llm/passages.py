@@ -6,10 +6,13 @@ anchor windows are hashed for the search; where one occurs in two different text
 and those decide, by 128-bit hashes of their words, which words go.
 
 What moves: each text once, compressed (exchanged by document and read again by every later step); one narrow row per anchor;
-then only what lies around shared anchors. Hot passages are counted by partial aggregation and joined back, never gathered.
+then only what lies around shared anchors. What texts that are read together share is known to be shared without asking others: of such an anchor only the smallest and the
+largest document, and of such a window only the smallest, are sent to the task that has it; the other rows are dealt out by document. So a passage of very many
+documents, however hot, sends a few rows a batch to one place. Copies of whole texts are counted by partial aggregation and joined back with hot ones dealt out.
 
 Words are `[^ \\t-\\r]+`. A null or empty text has none. Texts under WINDOW words keep everything. Among equal texts the smallest doc_id keeps its
-words. Rows with the same doc_id are no earlier documents for each other; a null doc_id counts as the largest. Other columns are not read. An empty table gives an empty result.
+words. Rows with the same doc_id, or with none, are no earlier documents for each other; a null doc_id counts as the largest. Very long texts are handled whole. Other
+columns are not read, or kept as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,9 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import base
@@ -30,7 +32,9 @@ WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 EDIT_SCHEMA = "doc_id long, digest binary, kept_text string"
-LAST = (1 << 63) - 1  # stands for a null doc_id
+#: Numbers that stand for null doc_ids, from NULLS to LAST, so that rows without an id are not one key.
+LAST, PARTS = (1 << 63) - 1, 64
+NULLS = LAST - PARTS + 1
 HEAD = 16 + 8 + 32  # of a packed text: digest, number of words, SHA-256 of its joined words
 
 
@@ -50,11 +54,16 @@ def _unpack(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob[HEAD:])
 
 
+def rank(df: DataFrame, doc_id: str, text: str) -> Column:
+    """The doc_id, or for none a number above all ids, by the text."""
+    return F.coalesce(df[doc_id].cast("long"), F.lit(LAST) - F.pmod(F.xxhash64(df[text]), F.lit(PARTS)))
+
+
 def packed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Texts with digests, compressed, dealt out by document."""
     # No column is nullable, else the optimiser adds filters that differ between the readers of the exchange, and it runs once for each.
-    schema = "doc_id long not null, blob binary not null"
-    return base.map_texts(df, [doc_id, text], text, lambda b: base.record(schema, doc_id=pc.fill_null(b.column(doc_id), LAST), blob=_pack(b.column(text))), schema).repartition("doc_id")
+    schema, rows = "doc_id long not null, blob binary not null", df.select(rank(df, doc_id, text).alias("doc_id"), df[text].alias("text"))
+    return base.map_texts(rows, ["doc_id", "text"], "text", lambda b: base.record(schema, doc_id=b.column("doc_id"), blob=_pack(b.column("text"))), schema).repartition("doc_id")
 
 
 def _texts(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ()) -> Iterator[tuple[list, list[bytes], base.Words, list[list]]]:
@@ -72,14 +81,29 @@ def anchors(words: base.Words, hashes: np.ndarray) -> np.ndarray:
     return at[np.isin((at - words.first[words.docs()[at]]) % PERIOD, COVER)]
 
 
+def _grouped(docs: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows by keys, then documents, without repeats of both, and the smallest and the largest document of each row's key."""
+    order = np.lexsort((docs, *keys))
+    other = np.ones(len(order), bool)
+    other[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    fresh = other.copy()
+    fresh[1:] |= docs[order][1:] != docs[order][:-1]
+    order, edges = order[fresh], np.flatnonzero(other[fresh])
+    size = np.diff(np.append(edges, len(order)))
+    return order, np.repeat(docs[order[edges]], size), np.repeat(docs[order[edges + size - 1]], size)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, _, words, _ in _texts(batches):
         hashes = words.hashes()
         at = anchors(words, hashes)
         if len(at):
             docs, keys = words.docs()[at], base.gram_hashes(hashes, ANCHOR)[at]
-            once = np.unique(keys ^ base.mix(docs.astype(np.uint64)), return_index=True)[1]  # a text's repeats of an anchor say nothing
-            yield pa.RecordBatch.from_arrays([pa.array(keys[once].view(np.int64)), pa.array(np.array(ids, np.int64)[docs[once]])], names=["anchor", "doc_id"])
+            docs = np.array(ids, np.int64)[docs]
+            order, low, high = _grouped(docs, keys)  # a text's repeats of an anchor say nothing
+            keys, docs = keys[order], docs[order]
+            salt = np.where((docs > low) & (docs < high), 1 + docs % (PARTS - 1), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs), pa.array(salt)], names=["anchor", "doc_id", "salt"])
 
 
 def _windows(words: base.Words, marked: np.ndarray) -> np.ndarray:
@@ -107,12 +131,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _windows(words, np.concatenate(hit)) if hit else at[:0]
         if len(at):
             first, second = (k[at] for k in _window_keys(words))
-            owner = words.docs()[at]
-            order = np.lexsort((second, first, owner))
-            fresh = np.ones(len(at), bool)
-            fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (owner, first, second)], axis=0)
-            order = order[fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[owner[order]]), pa.array(first[order]), pa.array(second[order])], names=["doc_id", "w1", "w2"])
+            docs = np.array(ids, np.int64)[words.docs()[at]]
+            order, low, _ = _grouped(docs, second, first)
+            docs = docs[order]
+            salt = np.where((docs > low) & (low < NULLS), 1 + docs % (PARTS - 1), 0)  # a smaller document has it: it goes
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(first[order]), pa.array(second[order]), pa.array(salt)], names=["doc_id", "w1", "w2", "salt"])
 
 
 def covered_words(words: base.Words, gone: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -131,7 +154,7 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rest, rows = [], []
         for doc, blob, copies, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "blob", "copies")), _lost(batch)):
-            n, doc = int.from_bytes(blob[16:24], "little"), None if doc == LAST else doc
+            n, doc = int.from_bytes(blob[16:24], "little"), None if doc >= NULLS else doc
             if n >= WINDOW and copies and blob[:16] in copies:
                 rows.append((doc, n, n, nothing))
             elif gone and n >= WINDOW:
@@ -162,7 +185,7 @@ def _kept(blob: bytes, gone: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, int,
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []  # a null doc_id stays LAST here
+        rows = []  # a null doc_id stays its number here
         for doc, blob, copies, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "blob", "copies")), _lost(batch)):
             if int.from_bytes(blob[16:24], "little") < WINDOW:
                 continue
@@ -178,18 +201,19 @@ def _judged(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Every text, packed, with the digests it only copies and the windows it has to lose."""
     docs = packed(df, doc_id, text)
     digests = docs.select("doc_id", F.substring("blob", 1, 16).alias("digest"))
-    earliest = digests.groupBy("digest").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest").drop("latest")
-    copies = digests.join(earliest, "digest").where("doc_id > earliest").groupBy("doc_id").agg(F.collect_set("digest").alias("copies"))
+    earliest = digests.groupBy("digest").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count("*").alias("n")).where(f"earliest < latest and earliest < {NULLS}").drop("latest")
+    copies = base.join_back(digests, earliest, ["digest"], "doc_id").where("doc_id > earliest").groupBy("doc_id").agg(F.collect_set("digest").alias("copies"))
     docs = docs.join(copies, "doc_id", "left")
     own = docs.where("copies is null or not array_contains(copies, substring(blob, 1, 16))").select("doc_id", "blob")
 
-    rows = own.mapInArrow(_anchor_rows, "anchor long not null, doc_id long not null").repartition("anchor")
-    common = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    shared = rows.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    # One exchange each for counting and joining. Rows with a salt are known to be shared, or to go; they only pass.
+    rows = own.mapInArrow(_anchor_rows, "anchor long not null, doc_id long not null, salt long not null").repartition("anchor", "salt")
+    common = rows.groupBy("anchor", "salt").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high or salt > 0").select("anchor", "salt")
+    shared = rows.join(common, ["anchor", "salt"]).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
-    windows = own.join(shared, "doc_id").mapInArrow(_window_rows, "doc_id long not null, w1 long not null, w2 long not null").repartition("w1", "w2")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    gone = windows.join(first, ["w1", "w2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set(F.struct("w1", "w2")).alias("gone"))
+    windows = own.join(shared, "doc_id").mapInArrow(_window_rows, "doc_id long not null, w1 long not null, w2 long not null, salt long not null").repartition("w1", "w2", "salt")
+    first = windows.groupBy("w1", "w2", "salt").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high or salt > 0").drop("high")
+    gone = windows.join(first, ["w1", "w2", "salt"]).where(f"salt > 0 or doc_id > low and low < {NULLS}").groupBy("doc_id").agg(F.collect_set(F.struct("w1", "w2")).alias("gone"))
     return docs.join(gone, "doc_id", "left")
 
 
@@ -203,7 +227,7 @@ def without_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """The table with repeated passages cut out of its texts; rows that lose nothing stay as they are."""
     base.prepare(df.sparkSession)
     edits = _judged(df, doc_id, text).mapInArrow(_edits, EDIT_SCHEMA).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "kept_text")).alias("__tarn_edits"))
-    marked = df.join(edits.withColumnRenamed("doc_id", "__tarn_doc"), F.col("__tarn_doc") == F.coalesce(df[doc_id], F.lit(LAST)), "left")
+    marked = df.join(edits.withColumnRenamed("doc_id", "__tarn_doc"), F.col("__tarn_doc") == rank(df, doc_id, text), "left")
 
     names = df.columns
     schema = df.schema
