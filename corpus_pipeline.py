@@ -3,12 +3,13 @@
 quality: documents that the rules reject go. toxicity: so do those with a score of 0.7 or more. near_dedup: of each class of near-duplicates the document
 with the smallest id stays. substring_dedup: passages of 13 words that an earlier document has are cut out; every document stays.
 packing: the last stage, one row per piece of a document in a sequence.
+
+All stages but the last keep all columns, whatever their names. Null and empty texts have under 50 words, so the quality stage drops them; a null doc_id stays null, is above all others, and
+rows without ids are told apart by their texts. Very long texts are handled whole. Of rows that are alike one stays in near_dedup. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    place = f"{base.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    return run_on(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All stages over some documents. What a stage wrote goes once the next one has been written; the last table goes when the application ends."""
+    scratch = base.Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
-        docs = spark.read.parquet(f"{place}/{name}")
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)
     return docs
