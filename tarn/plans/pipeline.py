@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tarn.operators import inference, jobs, plotdata, summaries, waste
-from tarn.plans import report
+from tarn.plans import figures, report
 from tarn.sources import discovery, sinks, telemetry
 
 log = logging.getLogger(__name__)
@@ -126,7 +126,9 @@ class Pipeline:
                 raise ValueError("no data could be processed from the files")
             stats = statistics(table) | {"hpc_system": system or "all", "files_processed": len(paths)}
             place = f"{self.output_dir.rstrip('/')}/{name or system or 'all'}"
-            sinks.write_plot_data(plots(table), f"{place}/plots")
+            frames = sinks.write_plot_data(plots(table), f"{place}/plots")
+            for figure, svg in figures.draw(frames, stats).items():
+                sinks.write_text(self.spark, f"{place}/{figure}.svg", svg)
             sinks.write_jobs(table, f"{place}/job_data_with_waste_metrics.csv.gz")
             sinks.write_summary(self.spark, stats, f"{place}/summary_statistics.json")
             print(report.key_findings(stats))

@@ -1,4 +1,4 @@
-"""Writing results: job tables as compressed CSV, summaries as JSON, figure data as parquet."""
+"""Writing results: job tables as compressed CSV, summaries as JSON, figure data as parquet, figures as text."""
 
 from __future__ import annotations
 
@@ -46,6 +46,10 @@ def write_summary(spark: SparkSession, stats: dict, path: str) -> None:
     write_text(spark, path, json.dumps(plain(stats), indent=2))
 
 
-def write_plot_data(frames: dict[str, DataFrame], folder: str) -> None:
+def write_plot_data(frames: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Each frame, all of them small, as one parquet file, which keeps its order; returns the frames as they were written."""
+    out = {}
     for name, frame in frames.items():
-        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+        out[name] = frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
+    return out

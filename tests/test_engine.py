@@ -269,6 +269,12 @@ def test_whole_run(spark, tree, tmp_path, capsys):
     assert stats["overall"]["total_jobs"] == 3 and stats["files_processed"] == 6 and len(run.skipped) == 2
     assert spark.read.option("header", True).csv(f"{tmp_path}/out/all/job_data_with_waste_metrics.csv.gz").columns[-1] == "date"
     assert os.path.exists(f"{tmp_path}/out/all/summary_statistics.json")
+    import xml.etree.ElementTree as ET
+
+    figures = {n: ET.parse(f"{tmp_path}/out/all/{n}.svg").getroot() for n in ("waste_distributions", "waste_by_characteristics", "waste_time_series", "user_waste_heatmap")}
+    bars = [e for e in figures["waste_distributions"].iter() if e.tag.endswith("rect")]
+    assert len(bars) == 1 + 50 + 4 and "bob" in "".join(figures["user_waste_heatmap"].itertext())
+    assert not [e for f in figures.values() for e in f.iter() if "nan" in "".join(e.attrib.values()).lower()]
     assert run.run(system="stampede", limit_years=[2013])["overall"]["total_jobs"] == 1
     with pytest.raises(ValueError):
         run.run(limit_years=[1999])
