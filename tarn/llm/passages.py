@@ -35,6 +35,8 @@ EDIT_SCHEMA = "doc_id long, digest binary, kept_text string"
 #: Numbers that stand for null doc_ids, from NULLS to LAST, so that rows without an id are not one key.
 LAST, PARTS = (1 << 63) - 1, 64
 NULLS = LAST - PARTS + 1
+#: The last bits of an anchor's hash and of a window's second one are no part of them: 0, or by the document for rows that pass by.
+PLAIN, SALT = np.uint64(base.MASK - PARTS + 1), PARTS - 1
 HEAD = 16 + 8 + 32  # of a packed text: digest, number of words, SHA-256 of its joined words
 
 
@@ -93,17 +95,21 @@ def _grouped(docs: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.repeat(docs[order[edges]], size), np.repeat(docs[order[edges + size - 1]], size)
 
 
+def _salt(docs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.where(known, 1 + docs % SALT, 0).astype(np.uint64)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, _, words, _ in _texts(batches):
         hashes = words.hashes()
         at = anchors(words, hashes)
         if len(at):
-            docs, keys = words.docs()[at], base.gram_hashes(hashes, ANCHOR)[at]
+            docs, keys = words.docs()[at], base.gram_hashes(hashes, ANCHOR)[at] & PLAIN
             docs = np.array(ids, np.int64)[docs]
             order, low, high = _grouped(docs, keys)  # a text's repeats of an anchor say nothing
             keys, docs = keys[order], docs[order]
-            salt = np.where((docs > low) & (docs < high), 1 + docs % (PARTS - 1), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs), pa.array(salt)], names=["anchor", "doc_id", "salt"])
+            keys = keys | _salt(docs, (docs > low) & (docs < high))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs)], names=["anchor", "doc_id"])
 
 
 def _windows(words: base.Words, marked: np.ndarray) -> np.ndarray:
@@ -118,30 +124,31 @@ def _windows(words: base.Words, marked: np.ndarray) -> np.ndarray:
 
 
 def _window_keys(words: base.Words) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(base.gram_hashes(words.hashes(seed), WINDOW).view(np.int64) for seed in (1, 3))
+    first, second = (base.gram_hashes(words.hashes(seed), WINDOW) for seed in (1, 3))
+    return first, second & PLAIN
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, _, words, (shared,) in _texts(batches, ("anchors",)):
         hashes = words.hashes()
         at = anchors(words, hashes)
-        keys, docs = base.gram_hashes(hashes, ANCHOR)[at].view(np.int64), words.docs()[at]
+        keys, docs = base.gram_hashes(hashes, ANCHOR)[at] & PLAIN, words.docs()[at]
         edges = np.searchsorted(docs, np.arange(len(ids) + 1))
-        hit = [at[a:b][np.isin(keys[a:b], s)] for a, b, s in zip(edges, edges[1:], shared)]
+        hit = [at[a:b][np.isin(keys[a:b], np.array(s, np.int64).view(np.uint64) & PLAIN)] for a, b, s in zip(edges, edges[1:], shared)]
         at = _windows(words, np.concatenate(hit)) if hit else at[:0]
         if len(at):
             first, second = (k[at] for k in _window_keys(words))
             docs = np.array(ids, np.int64)[words.docs()[at]]
             order, low, _ = _grouped(docs, second, first)
             docs = docs[order]
-            salt = np.where((docs > low) & (low < NULLS), 1 + docs % (PARTS - 1), 0)  # a smaller document has it: it goes
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(first[order]), pa.array(second[order]), pa.array(salt)], names=["doc_id", "w1", "w2", "salt"])
+            second = second[order] | _salt(docs, (docs > low) & (low < NULLS))  # a smaller document has it: it goes
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(first[order].view(np.int64)), pa.array(second.view(np.int64))], names=["doc_id", "w1", "w2"])
 
 
 def covered_words(words: base.Words, gone: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """For each word of one document: is it in a window that is gone."""
-    first, second = (k.view(np.uint64) for k in _window_keys(words))
-    lost = [g.view(np.uint64) for g in gone]
+    first, second = _window_keys(words)
+    lost = gone[0].view(np.uint64), gone[1].view(np.uint64) & PLAIN
     at = np.flatnonzero(np.isin(first, lost[0]) & np.isin(first ^ base.mix(second), lost[0] ^ base.mix(lost[1])))
     change = np.zeros(len(words) + 1, np.int64)
     np.add.at(change, at, 1)
@@ -207,13 +214,14 @@ def _judged(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     own = docs.where("copies is null or not array_contains(copies, substring(blob, 1, 16))").select("doc_id", "blob")
 
     # One exchange each for counting and joining. Rows with a salt are known to be shared, or to go; they only pass.
-    rows = own.mapInArrow(_anchor_rows, "anchor long not null, doc_id long not null, salt long not null").repartition("anchor", "salt")
-    common = rows.groupBy("anchor", "salt").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high or salt > 0").select("anchor", "salt")
-    shared = rows.join(common, ["anchor", "salt"]).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-
-    windows = own.join(shared, "doc_id").mapInArrow(_window_rows, "doc_id long not null, w1 long not null, w2 long not null, salt long not null").repartition("w1", "w2", "salt")
-    first = windows.groupBy("w1", "w2", "salt").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high or salt > 0").drop("high")
-    gone = windows.join(first, ["w1", "w2", "salt"]).where(f"salt > 0 or doc_id > low and low < {NULLS}").groupBy("doc_id").agg(F.collect_set(F.struct("w1", "w2")).alias("gone"))
+    salted = lambda c: F.col(c).bitwiseAND(SALT) != 0
+    rows = own.mapInArrow(_anchor_rows, "anchor long not null, doc_id long not null").repartition("anchor")
+    common = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where((F.col("low") < F.col("high")) | salted("anchor")).select("anchor")
+    shared = rows.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+
+    windows = own.join(shared, "doc_id").mapInArrow(_window_rows, "doc_id long not null, w1 long not null, w2 long not null").repartition("w1", "w2")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where((F.col("low") < F.col("high")) | salted("w2")).drop("high")
+    gone = windows.join(first, ["w1", "w2"]).where(salted("w2") | (F.col("doc_id") > F.col("low")) & (F.col("low") < NULLS)).groupBy("doc_id").agg(F.collect_set(F.struct("w1", "w2")).alias("gone"))
     return docs.join(gone, "doc_id", "left")
 
 
