@@ -1,11 +1,12 @@
 """License scans by ordered signature rules.
 
-Rules are regular expressions, each with keywords, a label, a priority and a confidence. A text is searched for all keywords first; only rules
+Rules are regular expressions, each with keywords, a label, a priority and a confidence. One automaton searches a text for all keywords first; only rules
 whose keywords it has are tried. Of overlapping detections, one that lies inside another of a higher priority, or inside a longer one of
 the same, is suppressed. A space in a rule or keyword stands for any run of white space with at most one line break and the comment signs after it; blank
 lines part statements. Base phrases are found by their words, exactly, and are never suppressed.
 
-A null or empty text has no words and no labels; its labels are empty strings and its score 0. Equal texts get equal results.
+A null or empty text has no words and no labels; its labels are empty strings and its score 0. Very long texts are scanned whole. Equal texts get equal results, repeated rows a row
+each; of detections as good as each other the first rule's stays. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
+from re import _parser
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,31 +99,132 @@ UNVERSIONED = {
     "cc-by-nc": (r"(?:cc[ -]by-nc|creative commons attribution-noncommercial)(?!\w)", "cc by-nc|cc-by-nc|creative commons attribution-noncommercial"),
     "cc-by-nd": (r"(?:cc[ -]by-nd|creative commons attribution-noderivatives)(?!\w)", "cc by-nd|cc-by-nd|creative commons attribution-noderivatives"),
 }
-#: How a license is stated: (pattern around the name, keyword, priority, confidence). The order is that of the rules.
+#: How a license is stated: (pattern around the name, keyword, priority, confidence). The order is that of the rules. A group `id` is the detection; what is around it is its context.
 STATEMENTS = (
-    (r"spdx-license-identifier:\s*{spdx}(?:-only|-or-later)?(?![\w.])", "spdx", 100, 0.99),
+    (r"spdx-license-identifier:[^\n]{0,200}?(?<![\w.-])(?P<id>{spdx})(?:-only|-or-later|\+)?(?![\w.+-]*\w)", "spdx", 100, 0.99),
+    (r"(?P<id>{spdx})(?:(?:-only|-or-later|\+|(?<=\d))(?= (?:or|and) [a-z])|(?= (?:or|and) [a-z][a-z-]*-\d))", "{spdx} or |{spdx} and |{spdx}-o|{spdx}+", 92, 0.9),
+    (r"(?:(?<=\d or )|(?<=\d and )|(?<=only or )|(?<=later or )|(?<=only and )|(?<=later and )|(?:(?<= or )|(?<= and ))(?=[a-z]+(?:-[a-z]+)*-\d))(?P<id>{spdx})(?:-only|-or-later|\+)?(?![\w.+-]*\w)", " or {spdx}| and {spdx}", 92, 0.9),
     (r"(?:is |are |be )?licen[cs]ed (?:to you )?under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?", "licen", 90, 0.95),
     (r"(?:re)?leased under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?", "leased under", 90, 0.95),
     (r"(?:distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?", " under", 85, 0.9),
     (r"under the terms of (?:the )?{name}(?: licen[cs]e)?", "under the terms", 80, 0.9),
     (r"subject to (?:the )?(?:terms of )?(?:the )?{name} licen[cs]e", "subject to", 75, 0.8),
-    (r"licen[cs]es?:\s*(?:the )?{name}(?![\w.])", "licen", 70, 0.85),
+    (r"[\"']?licen[cs]es?[\"']?\s*[:=]\s*[\"']?(?:the )?{name}(?![\w.])", "licen", 70, 0.85),
     (r"(?:the |this )?{name} licen[cs]e(?! plate)", "licen", 40, 0.6),
 )
-#: Rules of their own: (label, pattern, keyword, priority, confidence).
-PHRASES = (
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "permission is hereby", 95, 0.98),
-    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", "permission to use", 95, 0.95),
-    ("bsd", r"redistributions? (?:and use )?in source and binary forms?", "redistribution", 95, 0.95),
-    ("apache-2.0", r"www\.apache\.org/licenses/license-2\.0", "apache.org", 95, 0.98),
-    ("gpl", r"(?:gnu )?general public licen[cs]e", "public licen", 30, 0.6),
-    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", "public licen", 30, 0.6),
-    ("agpl", r"(?:gnu )?affero general public licen[cs]e", "public licen", 30, 0.6),
-    ("public-domain", r"(?:dedicated to|released into|in) the public domain", "public domain", 60, 0.7),
-    ("proprietary", r"(?:proprietary and confidential|unauthori[sz]ed (?:copying|use|reproduction))", "unauthori|proprietary", 60, 0.8),
-    ("copyright", r"(?:copyright|\(c\)|©) ?(?:\(c\)|©)? ?(?:19|20)\d\d", "copyright|(c)|©", 20, 0.4),
-    ("reserved", r"all rights reserved", "rights reserved", 20, 0.4),
-)
+#: The first statements speak of SPDX identifiers.
+BY_IDENTIFIER = 3
+#: What may not follow a name: more of a word or of a version.
+END = r"(?!\w|[.-]\d)"
+
+# Sentences of license texts and notices, as patterns, and places where the texts are kept. A rule's keyword is the longest plain part of its pattern.
+SENTENCES = {
+    "mit": (
+        r"permission is hereby granted, free of charge, to any person obtaining a copy", r"to deal in the software without restriction, including without limitation the rights to use",
+        r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    "x11": (r"except as contained in this notice, the name of the x consortium shall not be used", r"the name\(?s\)? of the above copyright holders? shall not be used in advertising"),
+    "isc": (r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
+    "hpnd": (r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose", r"makes no representations about the suitability of this software for any purpose"),
+    "bsd": (
+        r"redistributions? (?:and use )?in source and binary forms?", r"redistributions of source code must retain the above copyright notice", r"redistributions in binary form must reproduce the above copyright notice",
+        r"this software is provided by the (?:copyright holders|regents|authors?) and contributors \"?as is\"?",
+    ),
+    "bsd-3-clause": (r"neither the names? of (?:the )?.{2,80}? nor the names of (?:its|their) contributors may be used to endorse", r"may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    "bsd-4-clause": (r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment",),
+    "apache-1.1": (r"the end-user documentation included with the redistribution, if any, must include the following acknowledge?ment",),
+    "apache-2.0": (
+        r"you may not use this file except in compliance with the license", r"you may obtain a copy of the license at", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements",
+        r"grant of patent license\. subject to the terms and conditions of this license, each contributor hereby grants",
+    ),
+    "gpl": (
+        r"(?:gnu )?general public licen[cs]e", r"this program is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e",
+        r"you should have received a copy of the gnu general public licen[cs]e", r"see the gnu general public licen[cs]e for more details", r"the gnu general public license is a free, copyleft license",
+    ),
+    "gpl-2.0": (r"general public licen[cs]e(?: \(gpl\))? as published by the free software foundation[;,]? (?:either )?version 2", r"general public licen[cs]e[,;]? version 2 as published by", r"gnu general public license version 2, june 1991"),
+    "gpl-3.0": (r"general public licen[cs]e(?: \(gpl\))? as published by the free software foundation[;,]? (?:either )?version 3", r"general public licen[cs]e[,;]? version 3 as published by", r"gnu general public license version 3, 29 june 2007"),
+    "lgpl": (
+        r"(?:gnu )?(?:lesser|library) general public licen[cs]e", r"this library is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e",
+        r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e",
+    ),
+    "lgpl-2.1": (r"lesser general public licen[cs]e as published by the free software foundation[;,]? (?:either )?version 2\.1", r"gnu lesser general public license version 2\.1, february 1999"),
+    "lgpl-3.0": (r"lesser general public licen[cs]e as published by the free software foundation[;,]? (?:either )?version 3", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    "agpl": (r"(?:gnu )?affero general public licen[cs]e", r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    "agpl-3.0": (r"affero general public licen[cs]e as published by the free software foundation[;,]? (?:either )?version 3", r"gnu affero general public license version 3, 19 november 2007"),
+    "gfdl": (r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license", r"with no invariant sections, no front-cover texts,? and no back-cover texts"),
+    "mpl-1.1": (r"the contents of this file are subject to the mozilla public licen[cs]e,? version 1\.1",),
+    "mpl-2.0": (r"this source code form is subject to the terms of the mozilla public licen[cs]e", r"if a copy of the mpl was not distributed with this file"),
+    "epl": (r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", r"the accompanying program is provided under the terms of this eclipse public license"),
+    "cpl-1.0": (r"made available under the terms of the common public licen[cs]e", r"the accompanying program is provided under the terms of this common public license"),
+    "cddl": (r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e", r"when distributing covered (?:code|software), include this cddl header notice in each file"),
+    "zlib": (
+        r"this software is provided 'as-is', without any express or implied warranty", r"altered source versions must be plainly marked as such, and must not be misrepresented",
+        r"the origin of this software must not be misrepresented[;,] you must not claim that you wrote the original software",
+    ),
+    "boost-1.0": (r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", r"boost software license - version 1\.0"),
+    "unlicense": (r"this is free and unencumbered software released into the public domain", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    "wtfpl": (r"you just do what the fuck you want to", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed"),
+    "cc0-1.0": (r"to the extent possible under law, .{2,80}? (?:has|have) waived all copyright", r"creative commons legal code cc0 1\.0 universal"),
+    "cc-by": (r"this work is licensed under a creative commons attribution (?:[\d.]+ )?(?:international|unported|generic)? ?licen[cs]e",),
+    "cc-by-sa": (r"licensed under a creative commons attribution-share ?alike", r"text is available under the creative commons attribution-sharealike"),
+    "cc-by-nc": (r"licensed under a creative commons attribution-non-?commercial",),
+    "cc-by-nd": (r"licensed under a creative commons attribution-no ?deriv",),
+    "artistic": (r"the intent of this document is to state the conditions under which a package may be copied", r"under the same terms as perl itself", r"you may distribute under the terms of either the gnu general public license or the artistic license"),
+    "python-2.0": (r"psf is making python available to licensee on an \"as is\" basis", r"python software foundation license version 2"),
+    "postgresql": (r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",),
+    "openssl": (r"this product includes software developed by the openssl project for use in the openssl toolkit", r"this product includes cryptographic software written by eric young"),
+    "ofl-1.1": (r"this font software is licensed under the sil open font license, version 1\.1", r"the font software may be sold as part of a larger software package but"),
+    "ms-pl": (r"if you use the software, you accept this license\. if you do not accept the license, do not use the software",),
+    "vim": (r"there are no restrictions on distributing unmodified copies of vim",),
+    "beerware": (r"if we meet some day,? and you think this stuff is worth it, you can buy me a beer", r"beer-?ware licen[cs]e"),
+    "json": (r"the software shall be used for good, not evil",),
+    "ncsa": (r"to deal with the software without restriction, including without limitation the rights to use",),
+    "sspl-1.0": (r"if you make the functionality of the program or a modified version available to third parties as a service",),
+    "busl-1.1": (r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work", r"change date: .{4,40}? change license"),
+    "commons-clause": (r"the grant of rights under the license will not include, and the license does not grant to you, the right to sell the software", r"\"commons clause\" license condition"),
+    "elastic-2.0": (r"you may not provide the software to third parties as a hosted or managed service",),
+    "openrail": (r"use-based restrictions as referenced in paragraph 5", r"open rail-?m licen[cs]e", r"bigscience (?:rail|openrail-m)"),
+    "llama": (r"llama [\d.]+ (?:community )?license agreement", r"built with (?:meta )?llama"),
+    "eupl": (r"licensed under the eupl", r"the european union public licen[cs]e"),
+    "ogl-uk": (r"contains public sector information licensed under the open government licen[cs]e", r"open government licen[cs]e v[123]"),
+    "odbl": (r"made available under the open database licen[cs]e", r"any rights in individual contents of the database are licensed under the database contents licen[cs]e"),
+    "gutenberg": (r"this ebook is for the use of anyone anywhere (?:in the united states and most other parts of the world )?at no cost", r"project gutenberg(?:-tm|™)? licen[cs]e"),
+    "public-domain": (r"(?:dedicated to|released into|in) the public domain", r"the authors? disclaims? copyright to this source code", r"no copyright is claimed in the united states under title 17"),
+    "proprietary": (
+        r"proprietary and confidential", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)", r"may not be reproduced,? (?:distributed|stored)[^.]{0,80} without (?:the )?(?:prior )?(?:express )?written (?:permission|consent)",
+        r"no part of this (?:publication|book|work|document) may be reproduced", r"for internal use only[.;,] not for distribution", r"this software is the confidential and proprietary information of",
+    ),
+    "non-commercial": (r"for non-?commercial use only", r"for (?:personal|academic|research) (?:and non-?commercial )?use only", r"commercial use (?:is|of this \w+ is) (?:strictly )?prohibited"),
+    "dual": (r"dual[- ]licen[cs]ed under", r"(?:licensed|available) under (?:either|your choice) of", r"you may (?:choose|select), at your option, one of the (?:above-listed|following) licen[cs]es"),
+    "no-warranty": (
+        r"(?:the software|this software|this program|it) is provided \"?as is\"?,? without warranty of any kind", r"in no event shall the (?:authors?|copyright (?:holders?|owners?)) (?:or [a-z ]{2,40} )?be liable for any",
+        r"but without any warranty[;,] without even the implied warranty of", r"distributed on an \"?as is\"? basis,? without warranties or conditions of any kind",
+    ),
+    "copyright": (r"(?:copyright|\(c\)|©) ?(?:\(c\)|©)? ?(?:19|20)\d\d",),
+    "reserved": (r"all rights reserved",),
+}
+#: Sentences that say less than a license's own words: (priority, confidence). Others have SURE.
+WEAK = {"gpl": (30, 0.6), "lgpl": (30, 0.6), "agpl": (30, 0.6), "public-domain": (60, 0.7), "proprietary": (60, 0.8), "non-commercial": (60, 0.7), "dual": (60, 0.6), "no-warranty": (25, 0.5), "copyright": (20, 0.4), "reserved": (20, 0.4)}
+SURE = (95, 0.95)
+#: Keywords of the few sentences that have no plain part of their own.
+KEYWORDS = {"copyright": "copyright|(c)|©"}
+LINKS = {
+    "apache-1.1": (r"apache\.org/licenses/license-1\.1",), "apache-2.0": (r"apache\.org/licenses/license-2\.0", r"opensource\.org/licenses?/apache-2\.0"),
+    "mit": (r"opensource\.org/licenses?/mit", r"mit-license\.org", r"choosealicense\.com/licenses/mit"), "isc": (r"opensource\.org/licenses?/isc", r"isc\.org/licenses"),
+    "bsd-2-clause": (r"opensource\.org/licenses?/bsd-2-clause",), "bsd-3-clause": (r"opensource\.org/licenses?/bsd-3-clause",), "bsd": (r"opensource\.org/licenses/bsd-license",),
+    "gpl": (r"gnu\.org/(?:licenses|copyleft)/gpl(?:\.html|\.txt|\b)",), "gpl-2.0": (r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0", r"opensource\.org/licenses?/gpl-2\.0"), "gpl-3.0": (r"gnu\.org/licenses/gpl-3\.0", r"opensource\.org/licenses?/gpl-3\.0"),
+    "lgpl": (r"gnu\.org/(?:licenses|copyleft)/lgpl(?:\.html|\.txt|\b)",), "lgpl-2.1": (r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1", r"opensource\.org/licenses?/lgpl-2\.1"), "lgpl-3.0": (r"gnu\.org/licenses/lgpl-3\.0",),
+    "agpl-3.0": (r"gnu\.org/licenses/agpl-3\.0", r"opensource\.org/licenses?/agpl-3\.0"), "agpl": (r"gnu\.org/licenses/agpl(?:\.html|\.txt|\b)",), "gfdl": (r"gnu\.org/(?:licenses|copyleft)/fdl",),
+    "mpl-1.1": (r"mozilla\.org/mpl/mpl-1\.1",), "mpl-2.0": (r"mozilla\.org/(?:en-us/)?mpl/2\.0", r"opensource\.org/licenses?/mpl-2\.0"), "epl-1.0": (r"eclipse\.org/legal/epl-v10",), "epl-2.0": (r"eclipse\.org/legal/epl-(?:2\.0|v20)",),
+    "cddl": (r"opensource\.org/licenses?/cddl", r"sun\.com/cddl"), "boost-1.0": (r"boost\.org/license_1_0\.txt",), "zlib": (r"zlib\.net/zlib_license", r"opensource\.org/licenses?/zlib"), "unlicense": (r"unlicense\.org",), "wtfpl": (r"wtfpl\.net", r"sam\.zoy\.org/wtfpl"),
+    "cc0-1.0": (r"creativecommons\.org/publicdomain/zero/1\.0",), "public-domain": (r"creativecommons\.org/publicdomain/mark/1\.0", r"creativecommons\.org/licenses/publicdomain"),
+    "ofl-1.1": (r"scripts\.sil\.org/ofl", r"openfontlicense\.org"), "artistic-2.0": (r"opensource\.org/licenses?/artistic-2\.0", r"perlfoundation\.org/artistic_license_2_0"), "python-2.0": (r"docs\.python\.org/[\w./]*license\.html",),
+    "ms-pl": (r"opensource\.org/licenses?/ms-pl",), "eupl": (r"joinup\.ec\.europa\.eu/[\w/-]*eupl",), "odbl": (r"opendatacommons\.org/licenses/odbl",), "pddl": (r"opendatacommons\.org/licenses/pddl",), "odc-by": (r"opendatacommons\.org/licenses/by",),
+    "ogl-uk": (r"nationalarchives\.gov\.uk/doc/open-government-licence",), "sspl-1.0": (r"mongodb\.com/licensing/server-side-public-license",), "elastic-2.0": (r"elastic\.co/licensing/elastic-license",), "commons-clause": (r"commonsclause\.com",),
+    "busl-1.1": (r"mariadb\.com/bsl11",), "upl-1.0": (r"oss\.oracle\.com/licenses/upl",), "gutenberg": (r"gutenberg\.org/license",), "postgresql": (r"postgresql\.org/about/licen[cs]e",), "php-3.01": (r"php\.net/license/3_01",), "vim": (r"vimdoc\.sourceforge\.net/htmldoc/uganda",),
+}
+#: Creative Commons keeps its texts by name and version.
+CC_NAMES, CC_VERSIONS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"), ("2.0", "2.5", "3.0", "4.0")
 
 
 @dataclass(frozen=True)
@@ -131,23 +235,67 @@ class Rule:
     priority: int
     confidence: float
 
+    @property
+    def named(self) -> bool:
+        return "id" in self.pattern.groupindex
+
+
+def keyword(pattern: str) -> str:
+    """The longest plain part of a pattern: what stands in every text that it matches."""
+    parts = [""]
+    for kind, value in _parser.parse(pattern):
+        if kind is _parser.LITERAL:
+            parts[-1] += chr(value)
+        else:
+            parts.append("")
+    return max(parts, key=len)
+
 
 def rules() -> list[Rule]:
-    """All rules: every family in every statement, names without a version in all but the SPDX one, then the phrases."""
+    """All rules: every family in every statement, names without a version in those that speak of names, then sentences and links."""
     out = []
-    for label, (name, keyword, spdx) in FAMILIES.items():
-        for form, word, priority, confidence in STATEMENTS:
-            pattern = form.replace("{name}", name).replace("{spdx}", re.escape(spdx))
-            out.append(Rule(label, (word, f"{keyword}|{spdx}"), re.compile(r"(?<![\w])" + pattern), priority, confidence))
-    for label, (name, keyword) in UNVERSIONED.items():
-        for form, word, priority, confidence in STATEMENTS[1:]:
-            out.append(Rule(label, (word, keyword), re.compile(r"(?<![\w])" + form.replace("{name}", name)), priority, confidence))
-    for label, pattern, word, priority, confidence in PHRASES:
-        out.append(Rule(label, (word,), re.compile(r"(?<![\w])" + pattern), priority, confidence))
+    for label, (name, word, spdx) in FAMILIES.items():
+        for form, own, priority, confidence in STATEMENTS:
+            pattern = form.replace("{name}", f"(?:{name}){END}").replace("{spdx}", re.escape(spdx))
+            out.append(Rule(label, (own.replace("{spdx}", spdx), f"{word}|{spdx}"), re.compile(r"(?<![\w])" + pattern), priority, confidence))
+    for label, (name, word) in UNVERSIONED.items():
+        for form, own, priority, confidence in STATEMENTS[BY_IDENTIFIER:]:
+            out.append(Rule(label, (own, word), re.compile(r"(?<![\w])" + form.replace("{name}", f"(?:{name})")), priority, confidence))
+    for label, sentences in SENTENCES.items():
+        for pattern in sentences:
+            out.append(Rule(label, (KEYWORDS.get(label) or keyword(pattern),), re.compile(r"(?<![\w])" + pattern), *WEAK.get(label, SURE)))
+    links = [(label, pattern) for label, patterns in LINKS.items() for pattern in patterns]
+    links += [(f"cc-{name}-{version}", rf"creativecommons\.org/licenses/{name}/{re.escape(version)}") for name in CC_NAMES for version in CC_VERSIONS]
+    for label, pattern in links:
+        out.append(Rule(label, (keyword(pattern),), re.compile(r"(?<![\w])(?:https?://)?(?:www\.)?" + pattern), 95, 0.98))
     return out
 
 
-_RULES: list[Rule] = []
+class Rules:
+    """All rules, and an automaton of their keywords that says in one pass over a text which rules to try."""
+
+    def __init__(self):
+        self.rules, of = rules(), {}
+        for k, r in enumerate(self.rules):
+            for slot, words in enumerate(r.keywords):
+                for w in words.split("|"):
+                    of.setdefault(w, []).append((k, slot))
+        self.keywords = ahocorasick.Automaton()
+        for w, places in of.items():
+            self.keywords.add_word(w, (w, places))
+        self.keywords.make_automaton()
+
+    def tried(self, text: str) -> list[Rule]:
+        """The rules of which the text has a keyword of each kind, in their order."""
+        seen: dict[str, list] = dict(v for _, v in self.keywords.iter(text))
+        slots: dict[int, set[int]] = {}
+        for places in seen.values():
+            for k, slot in places:
+                slots.setdefault(k, set()).add(slot)
+        return [self.rules[k] for k in sorted(slots) if len(slots[k]) == len(self.rules[k].keywords)]
+
+
+_RULES: list[Rules] = []
 #: A line break with the comment signs after it.
 _BREAK = r"[^\S\n]*\n[^\S\n]*(?:(?:/\*+|//+|[*#;%>!|]+|--+|<!--+|dnl\b|rem\b)[^\S\n]*)*"
 _GAP = re.compile(_BREAK + r"|[^\S\n]{2,}|[^\S\n ]")
@@ -166,30 +314,17 @@ def flatten(text: str) -> tuple[str, list[int], list[int]]:
     return (" ".join([*parts, text[at:]]), starts, missing) if starts else (text, starts, missing)
 
 
-def gate() -> re.Pattern:
-    """What a text has to contain for any rule: the first keyword of each."""
-    words = sorted({k.strip() for r in rules() for k in r.keywords[0].split("|")})
-    return re.compile("|".join(rf"(?:{_BREAK}|[^\S\n]+)".join(map(re.escape, w.split(" "))) for w in words))
-
-
-def detect(text: str) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, label, priority, confidence) of what the rules find in a lower-cased text and don't suppress."""
+def detect(text: str, gated: bool = True) -> list[tuple[int, int, str, int, float]]:
+    """(start, end, label, priority, confidence) of what the rules find in a lower-cased text and don't suppress. Without the gate all rules are tried."""
     if not _RULES:
-        _RULES.extend(rules())
-    has: dict[str, bool] = {}
-
-    def there(keyword: str) -> bool:
-        if keyword not in has:
-            has[keyword] = any(k in text for k in keyword.split("|"))
-        return has[keyword]
-
+        _RULES.append(Rules())
     text, starts, missing = flatten(text)
 
     def place(k: int) -> int:
         i = bisect_right(starts, k)
         return k + missing[i - 1] if i else k
 
-    found = [(m.start(), m.end(), r.label, r.priority, r.confidence) for r in _RULES if all(map(there, r.keywords)) for m in r.pattern.finditer(text)]
+    found = [(*m.span("id" if r.named else 0), r.label, r.priority, r.confidence) for r in (_RULES[0].tried(text) if gated else _RULES[0].rules) for m in r.pattern.finditer(text)]
     return [(place(a), place(b - 1) + 1, *rest) for a, b, *rest in suppress(found)]
 
 
@@ -218,7 +353,6 @@ _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_GATE = gate()
 
 
 def _base_places(words: base.Words) -> tuple[list[np.ndarray], list[str]]:
@@ -257,7 +391,7 @@ def scan_texts(texts: pa.Array) -> dict[str, list]:
     out = {"n_words": words.counts.tolist(), "n_base": n_base, "first_word": first, "last_word": last, "base_labels": [",".join(sorted(x)) for x in labels], "labels": [], "score": [], "detections": []}
     for d in range(n):
         text = raw[offs[d] : offs[d + 1]].decode()
-        found = detect(text) if _GATE.search(text) else []
+        found = detect(text)
         doubt = 1.0
         for *_, confidence in found:
             doubt *= 1 - confidence
