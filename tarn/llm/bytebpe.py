@@ -6,7 +6,8 @@ compositions of blocks are scanned by doubling, and each block is then replayed
 boundaries are merged pair by pair by rank, with a cache; byte offsets of the pieces are kept, and decoding uses them.
 
 The pattern, in order: 's 't 're 've 'm 'll 'd | ?letters | ?numbers | ?others | spaces not before a non-space | spaces.
-A null or empty text has no ids; both digests are those of the empty string. Equal texts get equal results.
+A null or empty text has no ids; both digests are those of the empty string. Very long texts are encoded whole. Equal texts get equal results, repeated rows a row each; of
+pairs of one rank the leftmost is merged first. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ Rolling hashes of several n-gram lengths mark the words of every n-gram that a t
 the share of characters that such n-grams and repeated lines cover. All counts are per document, so no data are exchanged.
 
 A null or empty text has no words: its counts are 0, base_failed is true (under 50 words) and kept false. Repeated rows get
-equal results. An empty table gives an empty result.
+equal results. Very long texts are measured whole; of windows or lines that are alike the first is the original. Other columns are not read, or kept as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
