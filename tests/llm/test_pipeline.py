@@ -34,6 +34,19 @@ def test_pipeline_equals_plain_stages(spark):
         assert out[out.doc_id == doc].length.sum() == len(ids)
 
 
+def test_pipeline_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, null ids, and columns with the names of results."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    prose = [r.text for r in docs.where("length(text) > 400 and lang = 'en'").collect()][:6]
+    rows = [(None, prose[0], None, "s"), (None, prose[1], 1, None), (7, None, 1, "s"), (8, "", None, None), (9, prose[2], 1, "s"), (9, prose[2], 1, "s"), (10, prose[3] + " unlike words" * 40_000, 2, "k"), (11, prose[4], 3, "k")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, n_words long, key string").repartition(3)
+    out = corpus_pipeline.run_on(spark, odd, SF).toPandas()
+    assert {7, 8}.isdisjoint(set(out.doc_id.dropna())) and set(out.doc_id.dropna()) <= {9, 11}
+    kept = [t for _, t, _, _ in rows if t and not brute.quality(t)[5] and brute.coverage_keeps(t)]
+    assert out.groupby(["doc_id", "doc_tokens"], dropna=False).ngroups == len(set(kept))
+    assert corpus_pipeline.run_on(spark, odd.limit(0), SF).collect() == []
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
