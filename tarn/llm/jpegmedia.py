@@ -3,18 +3,23 @@
 Reading: markers are parsed, byte stuffing is removed, and all restart intervals of all images of a batch that share their tables are
 decoded side by side, one Huffman symbol a step. Of each block only the DC coefficient is kept; times its quantiser, over eight,
 plus 128, it is the block's mean, so the DCs of the luminance are a thumbnail at an eighth of the size. AC symbols are read and skipped.
+An image whose components come in scans of their own is read from that of its luminance. `thumbnails` does this for a column of any media; an image that can't be read (no or
+other JPEG, cut off, a code that no table has, too many or too few intervals) is a row with an error and without values, and stops nothing.
 
 Writing: bytes are stored without loss as the means of flat grey blocks, 64 blocks a row and a restart interval each row, at most
 ROWS rows an image; longer payloads are several images end to end.
 
-A null or empty text is a payload of 64 zero bytes. Equal texts get equal values. An empty table gives an empty result.
+A null or empty text is a payload of 64 zero bytes; very long ones are stored whole, in more images. A null or empty medium has no images, which is an error too. Equal texts or media
+get equal values, repeated rows a row each. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,7 @@ from pyspark.sql import DataFrame
 from tarn.llm import base
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, images long"
+MEDIA_SCHEMA = "doc_id long, media_bytes long, images int, width int, height int, thumbnail_sha256 string, feature string, error string"
 COLUMNS, ROWS = 64, 8000
 
 # The typical luminance DC table of the JPEG standard (counts of codes of 1 to 16 bits, then the categories).
@@ -119,55 +125,97 @@ def encode(payloads: list[np.ndarray]) -> list[bytes]:
     return [header(int(n)) + raw[a:b] + b"\xff\xd9" for n, a, b in zip(rows, begins.tolist(), tail[last].tolist())]
 
 
+def _markers(data: bytes, at: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """(marker, body, end of the segment, end of the coded bytes after it) of the segments from a place on."""
+    while True:
+        if at + 1 < len(data) and data[at] != 0xFF:
+            raise ValueError("no marker where one is due")
+        while at + 1 < len(data) and data[at + 1] == 0xFF:  # fill bytes
+            at += 1
+        if at + 2 > len(data):
+            raise ValueError("the image has no end")
+        marker = data[at + 1]
+        if marker == 0xD9:
+            yield marker, b"", at + 2, at + 2
+            return
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if size < 2 or at + 2 + size > len(data):
+            raise ValueError("a segment is cut off")
+        begin, at = at + 4, at + 2 + size
+        stop = at
+        if marker == 0xDA:
+            found = _SCAN_END.search(data, at)
+            if not found:
+                raise ValueError("the image has no end")
+            stop = found.start()
+        yield marker, data[begin:at], at, stop
+        at = stop
+
+
+_SCAN_END = re.compile(rb"\xff+[^\x00\xd0-\xd7\xff]", re.DOTALL)
+
+
 class Image:
-    """What the markers of one image say, and its entropy-coded bytes."""
+    """What the markers of one image say, and the entropy-coded bytes of the scan that has its luminance, its first component."""
 
     def __init__(self, data: bytes, start: int = 0):
-        self.quant, self.tables, self.interval, at = {}, {}, 0, start + 2
+        quant, tables, interval, parts, self.scan = {}, {}, 0, None, None
         if data[start : start + 2] != b"\xff\xd8":
             raise ValueError("no JPEG")
-        while True:
-            while data[at + 1] == 0xFF:  # fill bytes
-                at += 1
-            marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-            body = data[at + 4 : at + 2 + size]
-            at += 2 + size
+        for marker, body, begin, self.end in _markers(data, start + 2):
             if marker == 0xDB:
                 while body:
                     wide = body[0] >> 4
                     step = 2 if wide else 1
-                    self.quant[body[0] & 15] = int.from_bytes(body[1 : 1 + step], "big")  # the DC's
+                    quant[body[0] & 15] = int.from_bytes(body[1 : 1 + step], "big")  # the DC's
                     body = body[1 + 64 * step :]
             elif marker == 0xC4:
                 while body:
                     counts = tuple(body[1:17])
                     n = sum(counts)
-                    self.tables[body[0]] = (counts, tuple(body[17 : 17 + n]))
+                    if len(counts) < 16 or len(body) < 17 + n or sum(c << 16 - k for k, c in enumerate(counts, 1)) > 1 << 16:
+                        raise ValueError("no Huffman table")
+                    tables[body[0]] = (counts, tuple(body[17 : 17 + n]))
                     body = body[17 + n :]
             elif marker in (0xC0, 0xC1):
-                _, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
-                self.parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
+                depth, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
+                parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
+                if depth != 8 or not (self.height and self.width and parts) or not all(1 <= p[1] <= 4 and 1 <= p[2] <= 4 for p in parts):
+                    raise ValueError("no frame of 8-bit samples")
             elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
                 raise ValueError("only baseline images are read")
             elif marker == 0xDD:
-                self.interval = int.from_bytes(body, "big")
-            elif marker == 0xDA:
+                interval = int.from_bytes(body, "big")
+            elif marker == 0xDA and self.scan is None:
+                if not parts:
+                    raise ValueError("a scan before its frame")
                 of = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
-                self.scan = [(*p, of[p[0]] >> 4, 16 + (of[p[0]] & 15)) for p in self.parts if p[0] in of]
-                break
-        stop = data.index(b"\xff\xd9", at)
-        self.coded, self.end = data[at:stop], stop + 2
-        single = len(self.parts) == 1
-        h, v = (1, 1) if single else (max(p[1] for p in self.parts), max(p[2] for p in self.parts))
-        self.across, self.down = -(-self.width // (8 * h)), -(-self.height // (8 * v))
-        self.layout = tuple((1 if single else p[1], 1 if single else p[2], self.tables[p[4]], self.tables[p[5]]) for p in self.scan)
+                if parts[0][0] in of:
+                    scan = [(*p, tables.get(of[p[0]] >> 4), tables.get(16 + (of[p[0]] & 15))) for p in parts if p[0] in of]
+                    if any(x is None for p in scan for x in p) or parts[0][3] not in quant:
+                        raise ValueError("a table is missing")
+                    self.scan, self.interval, self.quant, self.coded = scan, interval, quant[parts[0][3]], data[begin : self.end]
+        if self.scan is None:
+            raise ValueError("no scan of the luminance")
+        single = len(self.scan) == 1
+        wide, high = (max(p[k] for p in parts) for k in (1, 2))
+        if single:  # blocks of the component, row by row
+            columns, lines = (-(-size * parts[0][k] // most) for size, k, most in ((self.width, 1, wide), (self.height, 2, high)))
+            self.across, self.down = -(-columns // 8), -(-lines // 8)
+        else:
+            columns, lines = self.width, self.height
+            self.across, self.down = -(-columns // (8 * wide)), -(-lines // (8 * high))
+        self.shape = -(-lines // 8), -(-columns // 8)
+        self.layout = tuple((1 if single else p[1], 1 if single else p[2], p[4], p[5]) for p in self.scan)
+        if self.across * self.down * sum(h * v for h, v, *_ in self.layout) > 4 * len(self.coded):  # a block takes two bits at least
+            raise ValueError("the scan is cut off")
 
     def thumbnail(self, dc: np.ndarray) -> np.ndarray:
         """Means of the luminance blocks from the DCs (MCU, block of the MCU)."""
         h, v = self.layout[0][:2]
         grid = dc.reshape(self.down, self.across, v, h).transpose(0, 2, 1, 3).reshape(self.down * v, self.across * h)
-        means = grid * self.quant[self.parts[0][3]] / 8 + 128
-        return np.clip(np.rint(means), 0, 255).astype(np.uint8)[: -(-self.height // 8), : -(-self.width // 8)]
+        means = grid * self.quant / 8 + 128
+        return np.clip(np.rint(means), 0, 255).astype(np.uint8)[: self.shape[0], : self.shape[1]]
 
 
 def images(data: bytes) -> list[Image]:
@@ -187,19 +235,19 @@ def _table(key: tuple) -> np.ndarray:
     return _LOOKUPS[key]
 
 
-def decode(pictures: list[Image]) -> list[np.ndarray]:
-    """Luminance thumbnails; images that share layout and tables are decoded together."""
+def decode(pictures: list[Image]) -> list[np.ndarray | None]:
+    """Luminance thumbnails, None of images whose coded bytes are no scan of theirs; images that share layout and tables are decoded together."""
     out: list[np.ndarray | None] = [None] * len(pictures)
     alike: dict[tuple, list[int]] = {}
     for k, p in enumerate(pictures):
         alike.setdefault(p.layout, []).append(k)
     for layout, members in alike.items():
         for k, dc in zip(members, _decode_alike([pictures[k] for k in members], layout)):
-            out[k] = pictures[k].thumbnail(dc)
+            out[k] = None if dc is None else pictures[k].thumbnail(dc)
     return out
 
 
-def _decode_alike(group: list[Image], layout: tuple) -> list[np.ndarray]:
+def _decode_alike(group: list[Image], layout: tuple) -> list[np.ndarray | None]:
     sizes = np.array([len(p.coded) for p in group])
     raw = np.frombuffer(b"".join(p.coded for p in group), np.uint8)
     begins = np.cumsum(sizes) - sizes
@@ -218,14 +266,18 @@ def _decode_alike(group: list[Image], layout: tuple) -> list[np.ndarray]:
     total = np.array([p.across * p.down for p in group])
     step = np.array([p.interval or p.across * p.down for p in group])
     count = np.minimum(step[owner], total[owner] - rank * step[owner])  # MCUs of each interval
+    broken = (np.bincount(owner, minlength=len(group)) != -(-total // step)) | (np.bincount(owner, np.maximum(count, 0), len(group)) != total)
+    count[broken[owner]] = 0
     bit = place[starts].astype(np.int64) * 8
+    limit = np.append(place[starts[1:]], len(plain) - 8) * 8  # an interval's bits end where the next one's begin
+    odd = np.zeros(len(starts), bool)  # intervals with a code that no table has
     first = np.cumsum(total) - total
     target = first[owner] + rank * step[owner]
     luma = layout[0][0] * layout[0][1]
     dcs = np.zeros((int(total.sum()), luma), np.int64)
     last = np.zeros((len(layout), len(starts)), np.int64)
     order = np.argsort(-count, kind="stable")
-    bit, count, target, last = bit[order], count[order], target[order], last[:, order]
+    bit, count, target, last, limit = bit[order], count[order], target[order], last[:, order], limit[order]
     tables = [(_table(x[2]), _table(x[3]), x[0] * x[1]) for x in layout]
 
     def peek(at: np.ndarray) -> np.ndarray:
@@ -237,6 +289,7 @@ def _decode_alike(group: list[Image], layout: tuple) -> list[np.ndarray]:
             for block in range(blocks):
                 now = bit[:n]
                 found = dc_table[peek(now)]
+                odd[:n] |= (found == 0) | (found >> 8 > 11)
                 now = now + (found & 255)
                 size = (found >> 8).astype(np.int64)
                 extra = (peek(now) >> (16 - size).astype(np.uint32)).astype(np.int64)
@@ -246,6 +299,7 @@ def _decode_alike(group: list[Image], layout: tuple) -> list[np.ndarray]:
                 if not c:
                     dcs[target[:n] + m, block] = last[c, :n]
                 found = ac_table[peek(now)]
+                odd[:n] |= found == 0
                 now += found & 255
                 busy = np.flatnonzero(found >> 8)
                 seen = np.zeros(len(busy), np.int64)  # AC coefficients so far
@@ -257,11 +311,13 @@ def _decode_alike(group: list[Image], layout: tuple) -> list[np.ndarray]:
                     on = seen < 63
                     busy, seen = busy[on], seen[on]
                     found = ac_table[peek(now[busy])]
+                    odd[busy[found == 0]] = True
                     now[busy] += found & 255
                     on = found >> 8 != 0
                     busy, seen, found = busy[on], seen[on], found[on]
                 bit[:n] = now
-    return [dcs[a : a + n] for a, n in zip(first, total)]
+    broken[owner[order[odd | (bit > limit)]]] = True
+    return [None if bad else dcs[a : a + n] for a, n, bad in zip(first, total, broken)]
 
 
 def fingerprint(grid: np.ndarray) -> str:
@@ -304,11 +360,21 @@ def store(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [b"".join(m) for m in media], size, padded
 
 
-def read(media: list[bytes]) -> list[list[np.ndarray]]:
-    """Thumbnails of the images of each medium."""
-    parsed = [images(m) for m in media]
-    flat = [p for group in parsed for p in group]
-    grids: list[np.ndarray] = []
+def parsed(medium: bytes | None) -> list[Image] | str:
+    """The images of a medium, or why they can't be read."""
+    try:
+        return images(medium) if medium else "no image"
+    except ValueError as e:
+        return str(e)
+    except (IndexError, struct.error):
+        return "a segment is cut off"
+
+
+def read(media: list[bytes | None]) -> list[list[np.ndarray] | str]:
+    """Thumbnails of the images of each medium, or why they can't be read."""
+    found = [parsed(m) for m in media]
+    flat = [p for group in found if not isinstance(group, str) for p in group]
+    grids: list[np.ndarray | None] = []
     at = 0
     while at < len(flat):
         stop, room = at + 1, base.PASS_BYTES
@@ -316,8 +382,28 @@ def read(media: list[bytes]) -> list[list[np.ndarray]]:
             stop += 1
         grids += decode(flat[at:stop])
         at = stop
-    found = iter(grids)
-    return [[next(found) for _ in group] for group in parsed]
+    left, out = iter(grids), []
+    for group in found:
+        own = group if isinstance(group, str) else [next(left) for _ in group]
+        out.append("the scan can't be decoded" if any(g is None for g in own) else own)
+    return out
+
+
+def thumbnails(df: DataFrame, doc_id: str = "doc_id", media: str = "media") -> DataFrame:
+    """Dimensions and thumbnail hashes of the JPEGs in a binary column (MEDIA_SCHEMA): width and height of the first image, the digest of all thumbnails' samples, and
+    their fingerprints. `error` says why a medium can't be read."""
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        data, rows = b.column(media).to_pylist(), []
+        for doc, m, grids in zip(b.column(doc_id).to_pylist(), data, read(data)):
+            if isinstance(grids, str):
+                rows.append((doc, len(m or b""), None, None, None, None, None, grids))
+            else:
+                first = Image(m)
+                rows.append((doc, len(m), len(grids), first.width, first.height, hashlib.sha256(b"".join(g.tobytes() for g in grids)).hexdigest(), "|".join(fingerprint(g) for g in grids), None))
+        return base.record(MEDIA_SCHEMA, **dict(zip("abcdefgh", zip(*rows))))
+
+    return base.map_texts(df, [doc_id, media], media, work, MEDIA_SCHEMA)
 
 
 def media_features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
