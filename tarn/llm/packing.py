@@ -6,9 +6,12 @@ the capacities (Panigrahy et al., 2011). Documents may be cut: whole sequences a
 gap that no item fits. What remains at the end of a partition goes into sequences whose lengths are powers of two, so that they need no padding.
 
 Each task packs the rows of its own partition in a bounded pool, so nothing is exchanged; sequence ids carry the partition's number.
-A loss-bearing token is one that is predicted from another of its piece: all but the first of a piece.
+A loss-bearing token is one that is predicted from another of its piece and is no part of a prompt: all but the first of a piece, and none of the leading
+characters that a prompt column counts. No sequence has more of them than `loss`, which is less than a sequence's tokens, so that a sequence of nothing but one long piece is
+not full: it takes pieces of other documents, or prompts, to fill it.
 
-A null or empty text is the end token alone. Every token lies in exactly one piece. Repeated rows are packed one by one. An empty table gives an empty result.
+A null or empty text is the end token alone; a null prompt is none, and one that is longer than its text is the whole text. Every token lies in exactly one piece, very long texts in many.
+Repeated rows are packed one by one; of items as good as each other the first goes in. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from tarn.llm import base
 
 VOCABULARY = "word_bpe_49k.json"
 END, LENGTH, MAX_SEGMENTS = 2, 4096, 512
+#: Loss-bearing tokens of a sequence, at most.
+MAX_LOSS = LENGTH - 8
 #: Tokens that wait to be packed together, and the shortest part that is cut to close a gap.
 POOL, MIN_CUT = 1 << 20, 16
 #: Parts of texts that one generation of a worker's cache holds.
@@ -112,14 +117,24 @@ def tokens(path: str) -> Tokens:
 class Packer:
     """Items (key, start, tokens) are added; full bins are taken out as lists of (key, start, tokens)."""
 
-    def __init__(self, length: int = LENGTH, segments: int = MAX_SEGMENTS, loss: int = LENGTH):
-        self.caps = np.array([length, segments, loss], float)
-        self.length, self.items, self.waiting = length, [], 0
+    def __init__(self, length: int = LENGTH, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS):
+        self.caps = np.array([length, segments, max(loss, 1)], float)
+        self.length, self.most, self.items, self.waiting = length, loss, [], 0
+        self.prompts: dict[int, int] = {}  # key: tokens at its start that bear no loss, if any
 
-    def add(self, key: int, start: int, size: int) -> Iterator[list[tuple[int, int, int]]]:
+    def loss(self, key: int, start: int, size: int) -> int:
+        """Loss-bearing tokens of a piece."""
+        return max(0, start + size - max(start + 1, self.prompts.get(key, 0)))
+
+    def _part(self, key: int, start: int, tokens: float, loss: float) -> int:
+        """The longest piece from a place on that has no more of both."""
+        return int(min(tokens, max(start + 1, self.prompts.get(key, 0)) - start + loss))
+
+    def add(self, key: int, start: int, size: int, prompt: int = 0) -> Iterator[list[tuple[int, int, int]]]:
         """Takes an item; yields the whole bins that it fills alone."""
-        whole = int(min(self.length, self.caps[2] + 1))
-        while size >= whole:
+        if prompt > start:
+            self.prompts[key] = prompt
+        while size >= (whole := self._part(key, start, self.length, self.most)):
             yield [(key, start, whole)]
             start, size = start + whole, size - whole
         if size:
@@ -131,10 +146,11 @@ class Packer:
         if self.waiting <= least:
             return
         size = np.array([s for *_, s in self.items], float)
-        demand = np.stack([size, np.ones(len(size)), size - 1], axis=1)
+        demand = np.stack([size, np.ones(len(size)), [self.loss(*x) for x in self.items]], axis=1)
         alive = np.ones(len(size), bool)
+        full = np.array([self.length, self.caps[1], self.most], float)
         while self.waiting > least:
-            left, chosen = self.caps.copy(), []
+            left, chosen = full.copy(), []
             while left[0] >= 1 and left[1] >= 1:
                 fits = alive & (demand <= left).all(axis=1)
                 if fits.any():
@@ -144,16 +160,18 @@ class Packer:
                     left -= demand[k]
                     alive[k] = False
                     continue
-                part = int(min(left[0], left[2] + 1))
                 k = int(np.argmax(np.where(alive, size, -1)))
-                if part < MIN_CUT or not alive[k] or size[k] <= part:
+                if not alive[k]:
                     break
                 key, start, n = self.items[k]
+                part = self._part(key, start, left[0], left[2])
+                if part < MIN_CUT or n <= part:
+                    break
                 chosen.append((key, start, part))
+                left -= (part, 1, self.loss(key, start, part))
                 self.items[k] = (key, start + part, n - part)
-                left -= (part, 1, part - 1)
                 size[k] -= part
-                demand[k] = (size[k], 1, size[k] - 1)
+                demand[k] = (size[k], 1, self.loss(*self.items[k]))
             self.waiting -= sum(n for *_, n in chosen)
             yield chosen
         self.items = [x for x, a in zip(self.items, alive) if a]
@@ -161,7 +179,7 @@ class Packer:
     def rest(self) -> Iterator[list[tuple[int, int, int]]]:
         """Everything that waits, the last of it in bins of 2**k tokens, that can't have more loss-bearing tokens than allowed."""
         yield from self.bins(self.length)
-        most = max(1, int(min(self.length, self.caps[2] + 1)))
+        most = max(1, min(self.length, self.most + 1))
         todo, self.items, self.waiting = self.items[::-1], [], 0
         while todo:
             total = sum(n for *_, n in todo)
@@ -176,8 +194,9 @@ class Packer:
             yield chosen
 
 
-def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, segments: int = MAX_SEGMENTS, loss: int = LENGTH) -> DataFrame:
-    """One row per piece (SCHEMA): where it lies in its document and in its sequence, and the CRC of its ids."""
+def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS, prompt: str | None = None) -> DataFrame:
+    """One row per piece (SCHEMA): where it lies in its document and in its sequence, and the CRC of its ids. `prompt` names a column with the leading characters
+    of the text that bear no loss: instructions, of which only the answers are learned."""
     base.prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +209,7 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", l
 
         def place(chosen: list[tuple[int, int, int]]) -> None:
             nonlocal number
-            offset, lost = 0, sum(n - 1 for *_, n in chosen)
+            offset, lost = 0, sum(packer.loss(*piece) for piece in chosen)
             for key, start, n in chosen:
                 doc, ids, left = held[key]
                 rows.append((doc, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), number, offset, len(chosen), lost))
@@ -198,6 +217,7 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", l
                 held[key][2] = left - n
                 if left == n:
                     del held[key]
+                    packer.prompts.pop(key, None)
             number += 1
 
         def out() -> pa.RecordBatch:
@@ -207,9 +227,14 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", l
 
         key = 0
         for part in base.passes(batches, text):
-            for doc, ids in zip(part.column(doc_id).to_pylist(), coder.encode(part.column(text).to_pylist())):
+            texts = part.column(text).to_pylist()
+            leads = [0] * len(texts)
+            if prompt:
+                heads = [(t or "")[: max(0, n or 0)] for t, n in zip(texts, part.column(prompt).to_pylist())]
+                leads = [len(x) - 1 for x in coder.encode(heads)]
+            for doc, ids, lead in zip(part.column(doc_id).to_pylist(), coder.encode(texts), leads):
                 held[key] = [doc, ids, len(ids)]
-                for full in packer.add(key, 0, len(ids)):
+                for full in packer.add(key, 0, len(ids), lead):
                     place(full)
                 key += 1
             if packer.waiting > POOL:
@@ -222,4 +247,4 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", l
         if rows:
             yield out()
 
-    return df.select(df[doc_id].alias(doc_id), df[text].alias(text)).mapInArrow(run, SCHEMA)
+    return df.select(*[df[c].alias(c) for c in (doc_id, text, *([prompt] if prompt else []))]).mapInArrow(run, SCHEMA)
