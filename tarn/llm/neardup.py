@@ -301,11 +301,11 @@ def _missed(around: DataFrame, found: DataFrame, blobs: DataFrame, scratch: base
 
 
 def _texts(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The ids and keys of all rows, and one row per key: least (its smallest id), class_id and class_key (those of the first text of its class) and n (its rows)."""
+    """The ids, keys and numbers of all rows, and one row per key: least (its smallest id), class_id and class_key (those of the first text of its class) and n (its rows)."""
     spark = df.sparkSession
     base.prepare(spark)
     scratch = base.Scratch(spark, "neardup")
-    signed = scratch.keep(_signed(df, doc_id, text), "signed")  # narrow, and read twice
+    signed = scratch.keep(_signed(df, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "signed")  # narrow, and read twice
     # A text is a node, numbered in the order of its smallest id, then its key. The number is made once, in the written table, from which everything else reads it.
     order = [F.col("least").asc_nulls_last(), F.col("key").asc()]
     unique = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"), F.count("*").alias("n"))
@@ -341,7 +341,7 @@ def _texts(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]
     texts = unique.join(heads, "node", "left").select("key", "least", F.when(first, F.col("least")).otherwise(F.col("class_id")).alias("class_id"), F.when(first, F.col("key")).otherwise(F.col("class_key")).alias("class_key"), "n")
     texts = scratch.keep(texts, "texts")
     scratch.drop_all_but(signed, texts)
-    return signed.select("doc_id", "key"), texts
+    return signed.select("doc_id", "key", "row"), texts
 
 
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,7 +350,7 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     As ids may be null or repeated, text_key and class_key (the key of the text that gives the class its id) tell texts and classes apart.
     """
     rows, texts = _texts(df, doc_id, text)
-    out = base.join_back(rows, texts, ["key"], "doc_id")
+    out = base.join_back(rows, texts, ["key"], "row")
     return out.select("doc_id", F.col("least").alias("text_id"), "class_id", F.hex("key").alias("text_key"), F.hex("class_key").alias("class_key"))
 
 

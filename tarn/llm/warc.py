@@ -132,19 +132,19 @@ def write_archive(df: DataFrame, path: str, page_id: str = "page_id", url: str =
     write = lambda rows: rows.write.mode("append").option("compression", "zstd").parquet(path)
     text = F.coalesce(df[html], F.lit(""))
     known = df.select(df[page_id].alias("page_id"), df[url].alias("url"), F.unhex(F.sha2(text, 256)).alias("digest"), F.unhex(F.sha1(text)).alias("sha1"), F.octet_length(text).cast("long").alias("size"))
-    known = scratch.keep(known.where(F.col("size") >= REVISIT).withColumn("id", F.coalesce("page_id", F.lit(LOWEST))), "known")  # no payloads, and read three times
+    known = scratch.keep(known.where(F.col("size") >= REVISIT).withColumn("id", F.coalesce("page_id", F.lit(LOWEST))).withColumn("row", F.monotonically_increasing_id()), "known")  # no payloads, and read three times
     latest = known.groupBy("digest", "size").agg(F.max("id").alias("latest"), F.min("id").alias("least"), F.min("sha1").alias("sha1"), F.count("*").alias("n")).where("least < latest")
     latest = scratch.keep(latest.drop("least"), "latest")
     keys = ["digest", "size"]
     # Revisits by page and digest, so that rows of one page with other payloads are told apart.
-    again = base.join_back(known.drop("sha1"), latest, keys, "id").where("id < latest").select("id", "digest").distinct()
+    again = base.join_back(known.drop("sha1"), latest.drop("sha1"), keys, "row").where("id < latest").select("id", "digest").distinct()
 
     cut = df.select(*[df[c].alias(c) for c in (page_id, url, html)]).mapInArrow(lambda b: _cut(b, page_id, url, html), _PIECES).withColumn("id", F.coalesce("page_id", F.lit(LOWEST)))
     write(cut.join(again, ["id", "digest"], "left_anti").mapInArrow(_responses, RECORDS))
 
     responses = spark.read.schema(RECORDS).parquet(path).where("last and page_id is not null").groupBy(F.col("page_id").alias("latest"), F.col("payload_sha1").alias("sha1")).agg(F.min("record_id").alias("response"))
     named = latest.join(responses, ["latest", "sha1"]).drop("sha1")
-    write(base.join_back(known, named, keys, "id").where("id < latest").mapInArrow(_revisits, RECORDS))
+    write(base.join_back(known, named, keys, "row").where("id < latest").mapInArrow(_revisits, RECORDS))
     scratch.drop(known, latest)
 
 
