@@ -45,7 +45,7 @@ _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _MASKS = np.zeros(256, bool)
 _MASKS[list(b"!@$*#+-.|")] = True
 SPEECH = frozenset(b"said says quote quoted quotes called wrote term word phrase sagte schrieb zitat dit citation dijo cita".split())
-_QUOTE = re.compile('["“”«»„]'.encode())
+_QUOTE = re.compile("|".join('"“”«»„').encode())
 
 
 def edits(letters: int) -> int:

@@ -420,6 +420,22 @@ def test_colour_images(interval):
         assert np.array_equal(got, want)
 
 
+def test_fingerprint_equals_plain_means():
+    rnd = np.random.default_rng(3)
+    for _ in range(60):
+        h, w = (int(x) for x in rnd.integers(1, 30, 2))
+        grid = rnd.integers(0, 256, (h, w)).astype(np.uint8)
+        cell = lambda r, c: grid[min(r * h // 8, h - 1) : max((r + 1) * h // 8, min(r * h // 8, h - 1) + 1), min(c * w // 8, w - 1) : max((c + 1) * w // 8, min(c * w // 8, w - 1) + 1)].astype(float).mean()  # noqa: E731, B023
+        means = [[cell(r, c) for c in range(8)] for r in range(8)]
+        middle = sum(map(sum, means)) / 64
+        bits = lambda flags: f"{int(''.join('1' if f else '0' for f in flags), 2):016x}"
+        average, gradient = bits([m > middle for row in means for m in row]), bits([row[(c + 1) % 8] > row[c] for row in means for c in range(8)])
+        size, *got = jpegmedia.fingerprint(grid).split(":")
+        assert size == f"{w * 8}x{h * 8}" and got[1] == gradient
+        near = [abs(m - middle) < 1e-9 for row in means for m in row]
+        assert all(a == b or n for a, b, n in zip(f"{int(got[0], 16):064b}", f"{int(average, 16):064b}", near))
+
+
 def two_scans(luma: bytes, chroma: bytes) -> bytes:
     """An image of two components, each in a scan of its own; rows of 64 blocks."""
     grey = [jpegmedia.encode([np.frombuffer(x, np.uint8)])[0] for x in (luma, chroma)]
@@ -493,6 +509,33 @@ def test_near_words_equal_edit_distance():
         assert got == (None if not reach else (min(reach)[2], min(reach)[0])), word
 
 
+def test_features_equal_a_plain_scan():
+    """Hits, contexts and features of random texts by edit distances to every term and by looking around every word."""
+    terms, exact, fuzzy = ["idiot", "scum", "worthlessness"], [3.0, 2.5, 4.0], [1.5, 0.5, 2.0]
+    model, rnd = toxicity.Model(terms, exact, fuzzy, [-3.0, 2.0, 0.5, -0.3, 0.1, 1.0]), random.Random(5)
+    pool = ["idiot", "idoit", "idiots", "scum", "scam", "worthlesness", "wrothlesness", "said", "quote", "he", "the", "day", "é", "û", "—", "x9", '"', "“", "”", "Idiot", "id!ot", "sc.um", "yes.no"]
+    texts = ["".join(rnd.choice(pool) + rnd.choice([" ", " ", "  ", ", ", "\n", "-"]) for _ in range(rnd.randint(0, 40))) for _ in range(300)] + ["", None]
+    x, count, quoted = toxicity.features(pa.array(texts), model)
+    for k, t in enumerate(texts):
+        low = (t or "").lower()
+        spots = [m.span() for m in re.finditer(r"[0-9a-z\x80-\U0010ffff]+", low)]
+        near = lambda w: min(((e, -len(u), j) for j, u in enumerate(terms) if (e := brute.distance(w, u)) <= toxicity.edits(len(u))), default=None)
+        alone = [near(low[a:b]) for a, b in spots]
+        found = [(i, n) for i, n in enumerate(alone) if n]
+        for i, ((a, b), (c, d)) in enumerate(zip(spots, spots[1:])):
+            if c - b == 1 and low[b] in "!@$*#+-.|" and not alone[i] and not alone[i + 1] and (n := near(low[a:d])):
+                found.append((i, n))
+        weights, said = [], 0
+        for i, (e, _, j) in found:
+            first, last = max(0, i - toxicity.CONTEXT), min(len(spots), i + toxicity.CONTEXT + 1) - 1
+            marks = any(c in low[spots[first][0] : spots[i][0]] for c in '"“”') and any(c in low[spots[i][1] : spots[last][1]] for c in '"“”')
+            q = marks or any(low[a:b].encode() in toxicity.SPEECH for a, b in spots[first:i])
+            weights.append(((fuzzy if e else exact)[j] * (toxicity.QUOTED if q else 1.0), e))
+            said += q
+        want = [np.log1p(sum(w for w, _ in weights)), max([0.0, *(w for w, _ in weights)]), np.log1p(sum(w for w, e in weights if e)), np.log1p(said), len(weights) / max(1, len(spots))]
+        assert (count[k], quoted[k]) == (len(weights), said) and x[k] == pytest.approx(want), t
+
+
 def test_masked_and_swapped_words_are_hits():
     model = toxicity.Model(["idiot", "moron"], [3.0, 3.0], [2.0, 2.0], [-3.0, 2.0, 0.5, 0.0, 0.0, 0.0])
     _, n, _ = toxicity.features(pa.array(["you id!ot", "a m*ron and an idoit", "idiot.you", "some idea", "id ot", "an id.\not"]), model)
