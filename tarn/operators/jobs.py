@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tarn.operators.ranks import smallest
 
+# The attributes and measures of a job, in the order of its columns.
 FIRSTS = ("start_time", "end_time", "job_exitcode", "queue", "job_username", "ncores", "nhosts", "duration_hours")
+#: What samples have if they are valid (see cleaning.valid).
+NEVER_NULL = ("start_time", "end_time", "ncores", "duration_hours")
 MEASURES = ("job_cpu_usage", "value_memused")
 JOB_COLUMNS = ("jid", *FIRSTS, *MEASURES)
 SEED = 42
@@ -32,14 +35,18 @@ def merge_partials(partials: DataFrame) -> DataFrame:
     return partials.groupBy("jid").agg(*firsts, *means)
 
 
-def job_table(samples: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def job_table(samples: DataFrame, keys: tuple[str, ...] = (), valid: bool = False) -> DataFrame:
     """The same jobs in one aggregation, whose partial step Spark plans itself: of the first file that has the job, the first non-null
-    value. The weighted mean of means is the mean of the samples. `keys` keeps runs apart that share samples."""
+    value. The weighted mean of means is the mean of the samples. `keys` keeps runs apart that share samples. Of `valid` samples those attributes that have no nulls come from the first row together."""
+    together = [c for c in FIRSTS if valid and c in NEVER_NULL]
 
     def first(c: str) -> Column:
         return F.min_by(F.col(c), F.struct(F.col("file_id"), F.col(c).isNull(), F.col("row_index"))).alias(c)
 
-    return samples.where(F.col("jid").isNotNull()).groupBy(*keys, "jid").agg(*[first(c) for c in FIRSTS], *[F.avg(c).alias(c) for c in MEASURES])
+    row = [F.min_by(F.struct(*together), F.struct("file_id", "row_index")).alias("_first")] if together else []
+    means = [F.avg(c).alias(c) for c in MEASURES]
+    found = samples.where(F.col("jid").isNotNull()).groupBy(*keys, "jid").agg(*row, *[first(c) for c in FIRSTS if c not in together], *means)
+    return found.select(*keys, "jid", *[F.col(f"_first.{c}").alias(c) if c in together else F.col(c) for c in FIRSTS], *MEASURES)
 
 
 def distinct_jobs(samples: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.numeric import DURATION, SEVERITY, SIZE, binned, clip01
 
-#: GB of memory per core.
+# Memory per core of the systems in GB, and the names of the metrics in the order of their columns.
 MEMORY = {"stampede": 2.0, "conte": 4.0, "anvil": 2.0}
 WASTE_COLUMNS = ("cpu_waste", "system", "mem_per_core", "estimated_requested_mem_gb", "mem_waste", "composite_waste", "cpu_hours_wasted", "mem_gb_hours_wasted", "duration_category", "size_category", "waste_category")
 

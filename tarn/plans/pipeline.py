@@ -68,7 +68,7 @@ def by_system(samples: DataFrame, file_name: str = "file_name") -> DataFrame:
 
 def system_comparison(samples: DataFrame, file_name: str = "file_name") -> DataFrame:
     """One row per run: jobs, mean wastes and wasted core-hours."""
-    table = waste.with_waste(jobs.job_table(by_system(samples, file_name), ("run",)))
+    table = waste.with_waste(jobs.job_table(by_system(samples, file_name), ("run",), valid=True))
     return table.groupBy(F.col("run").alias("system")).agg(
         F.count("*").alias("total_jobs"), F.avg("cpu_waste").alias("cpu_waste_mean"), F.avg("mem_waste").alias("mem_waste_mean"),
         F.avg("composite_waste").alias("composite_waste_mean"), summaries.total("cpu_hours_wasted").alias("total_cpu_hours_wasted"),
@@ -96,7 +96,7 @@ class Pipeline:
             except ValueError:
                 log.warning("no probe can be read: all jobs are analysed")
         chosen = sampled(samples, some, fraction) if some is not None else samples
-        return waste.with_waste(jobs.job_table(chosen)).persist(StorageLevel.MEMORY_AND_DISK)  # some twenty aggregates read it
+        return waste.with_waste(jobs.job_table(chosen, valid=True)).persist(StorageLevel.MEMORY_AND_DISK)  # some twenty aggregates read it
 
     def run(self, limit_years: list[int] | None = None, sample_jobs_fraction: float | None = None, test_mode: bool = False, system: str | None = None, name: str | None = None) -> dict:
         """One analysis. A file that turns out damaged while it is read is skipped whole, and the job table is made again without it."""

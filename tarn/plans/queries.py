@@ -35,7 +35,7 @@ def clean_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.job_table(clean_samples(spark, sf_dir))
+    return jobs.job_table(clean_samples(spark, sf_dir), valid=True)
 
 
 def waste_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,8 @@ def test_first_values(spark):
     cols = "jid string, file_id string, row_index long, start_time timestamp, end_time timestamp, job_exitcode string, queue string, job_username string, ncores double, nhosts double, duration_hours double, job_cpu_usage double, value_memused double"
     base = lambda f, r, code, queue, cpu: ("j", f, r, None, None, code, queue, "u", 1.0, 1.0, 1.0, cpu, 1.0)
     df = spark.createDataFrame([base("b", 0, "B", "qb", 10.0), base("a", 1, "A", None, 20.0), base("a", 0, None, None, 60.0)], cols)
-    for table in (jobs.job_table(df), jobs.merge_partials(jobs.partial_jobs(df))):
+    times = df.withColumns({"start_time": F.timestamp_seconds("row_index"), "end_time": F.timestamp_seconds(F.lit(9))})  # valid samples have both
+    for table in (jobs.job_table(df), jobs.merge_partials(jobs.partial_jobs(df)), jobs.job_table(times, valid=True)):
         row = table.first()
         assert (row.job_exitcode, row.queue, row.job_cpu_usage) == ("A", None, pytest.approx(30.0))
 
