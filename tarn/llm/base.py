@@ -5,6 +5,7 @@ A batch of texts is handled as one UTF-8 byte array with document offsets, so th
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import uuid
@@ -40,9 +41,21 @@ _HOLDERS: dict[str, Callable[[], None]] = {}
 
 def claim(name: str, clear: Callable[[], None]) -> None:
     """Called in a worker by an operator that keeps caches: those of other operators, which ran in the same worker before, go."""
-    for other in [k for k in _HOLDERS if k != name]:
+    others = [k for k in _HOLDERS if k != name]
+    for other in others:
         _HOLDERS.pop(other)()
     _HOLDERS[name] = clear
+    if others:
+        release()
+
+
+def release() -> None:
+    """Give free memory of this worker back to the system: it waits for other tasks, and others share its machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -101,6 +114,7 @@ def passes(batches: Iterator[pa.RecordBatch], text: str, limit: int = PASS_BYTES
             stop = max(start + 1, int(np.searchsorted(total, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def map_texts(df: DataFrame, columns: list[str], text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
